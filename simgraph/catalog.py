@@ -1,0 +1,6 @@
+"""Registry of the library's own queries."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
