@@ -2,24 +2,78 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgraph.llm import simhash
+from simgraph.llm import bpe, ring, rules, simhash, urls
+
+#: The rules that op10 judges by: action, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op5; quality is the calibrated probability of label quality = 1."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = rules.labelled_sample(docs, _table(spark, sf_dir, "labels"), "quality", rules.LABELLED)
+    return rules.judge(docs, rules.fit([r[1] for r in rows], [r[2] for r in rows]))
+
+
+def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op6 under the law ``rows``: shards' counts are at most one apart."""
+    found = ring.bounded_ring(_table(spark, sf_dir, "documents"), SHARDS)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op7: digests of the ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    back = bpe.decode(ids, path)
+    return back.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op8: doc_id, fingerprint (16 hex digits), component_id."""
     found = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op10: page_id, host, path, rule, verdict. Pages that no rule lists are allowed."""
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
+    "op5_ngram_rules": op5_ngram_rules,
+    "op6_bounded_ring": op6_bounded_ring,
+    "op7_segment_tree_bpe": op7_segment_tree_bpe,
     "op8_simhash_bk": op8_simhash_bk,
+    "op10_bloom_cascade": op10_bloom_cascade,
 }
 
-ORACLES: dict[str, str] = {}
+_URL_PARTS = """
+parts AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM parts),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split)"""
+
+ORACLES: dict[str, str] = {
+    "op10_bloom_cascade": f"""
+WITH {_URL_PARTS},
+rules(action, h, p) AS (VALUES {", ".join(map(str, URL_RULES))}),
+fits AS (
+  SELECT u.page_id, u.host, u.path, h || p AS rule, action,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(h || p) DESC) AS k
+  FROM urls u JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1""",
+}
