@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgraph.llm import bpe, ring, rules, simhash, urls
+from simgraph.llm import bpe, repeats, ring, rules, simhash, urls
 
 #: The rules that op10 judges by: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract of op2: what is left of each text without its repeated 200-byte strings."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), 200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op5; quality is the calibrated probability of label quality = 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -50,6 +56,7 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_cover": op2_suffix_cover,
     "op5_ngram_rules": op5_ngram_rules,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_segment_tree_bpe": op7_segment_tree_bpe,
