@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgraph.llm import bpe, repeats, ring, rules, simhash, urls
+from simgraph.llm import bpe, chat, decontam, repeats, resample, ring, rules, simhash, urls
 
 #: The rules that op10 judges by: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -17,12 +17,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_id, share, n_items of every document."""
+    return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op2: what is left of each text without its repeated 200-byte strings."""
     found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), 200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_grams, log_weight, score, kept of every document; the target is label quality = 1."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, episode, speaker, n_messages, rendered and masks (start:end, joined by ;)."""
+    found = chat.perspectives(_table(spark, sf_dir, "conversations"))
+    return found.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat(m.start, F.lit(":"), m.end)), ";"))
+
+
 def op5_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op5; quality is the calibrated probability of label quality = 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -56,7 +72,10 @@ def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_template_windows": op1_template_windows,
     "op2_suffix_cover": op2_suffix_cover,
+    "op3_importance_resampling": op3_importance_resampling,
+    "op4_perspectives": op4_perspectives,
     "op5_ngram_rules": op5_ngram_rules,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_segment_tree_bpe": op7_segment_tree_bpe,
@@ -74,6 +93,26 @@ urls AS (
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split)"""
 
 ORACLES: dict[str, str] = {
+    "op4_perspectives": """
+WITH m AS (
+  SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+         replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(coalesce(turn, 0) / 1024) AS BIGINT) AS episode
+  FROM conversations WHERE conv_id IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, episode, role AS speaker FROM m WHERE role <> 'system'),
+parts AS (
+  SELECT s.conv_id, s.episode, s.speaker, m.turn, m.role, m.text, m.role = s.speaker AS own,
+         CASE WHEN m.role = 'system' THEN '<|system|>' WHEN m.role = s.speaker THEN '<|assistant|>'
+              ELSE '<|user name=' || m.role || '|>' END || chr(10) AS head
+  FROM speakers s JOIN m ON m.conv_id = s.conv_id AND m.episode = s.episode),
+placed AS (
+  SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, episode, speaker ORDER BY turn, role, text
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS last
+  FROM parts)
+SELECT conv_id, episode, speaker, count(*) AS n_messages,
+       string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
+       coalesce(string_agg(CAST(last - length(text) AS BIGINT) || ':' || CAST(last AS BIGINT), ';' ORDER BY turn, role, text)
+                FILTER (WHERE own), '') AS masks
+FROM placed GROUP BY conv_id, episode, speaker""",
     "op10_bloom_cascade": f"""
 WITH {_URL_PARTS},
 rules(action, h, p) AS (VALUES {", ".join(map(str, URL_RULES))}),
