@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgraph.llm import bpe, chat, decontam, repeats, resample, ring, rules, simhash, urls
+from simgraph.llm import bpe, chat, decontam, mlm, repeats, resample, ring, rules, simhash, urls
 
 #: The rules that op10 judges by: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -66,6 +66,12 @@ def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob of every document under a network trained on all of them."""
+    docs = _table(spark, sf_dir, "documents")
+    return mlm.score(docs, mlm.train(docs))
+
+
 def op10_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op10: page_id, host, path, rule, verdict. Pages that no rule lists are allowed."""
     return urls.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
@@ -80,6 +86,7 @@ QUERIES = {
     "op6_bounded_ring": op6_bounded_ring,
     "op7_segment_tree_bpe": op7_segment_tree_bpe,
     "op8_simhash_bk": op8_simhash_bk,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_bloom_cascade": op10_bloom_cascade,
 }
 

@@ -21,6 +21,12 @@ def prepare(spark: SparkSession) -> None:
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
 
 
+def checkpoint_path(spark: SparkSession) -> str:
+    """The shared folder of this application's checkpoints."""
+    prepare(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: the data survive lost executors."""
     prepare(df.sparkSession)
