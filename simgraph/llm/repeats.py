@@ -71,7 +71,7 @@ def _packed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
             z = [pack(x.encode()) for x in part.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["_id", "uid", "z"])
 
-    return rows.mapInArrow(run, f"_id {kind}, uid long, z binary")
+    return rows.mapInArrow(run, f"_id {kind}, uid long, z binary").where("uid is not null")  # as inner joins ask; so all joins shuffle alike
 
 
 def _runs(docs: DataFrame, text: str, id_col: str, length: int) -> DataFrame:
@@ -181,8 +181,8 @@ def _sort_hot(segments: DataFrame, length: int) -> DataFrame:
     in a bucket of their own.
     """
     segments = segments.withColumn("k", F.md5("seg"))
-    distinct = cut(segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c")))
-    size = cut(distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("m")))
+    distinct = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"))
+    size = distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("m"))
     rows = distinct.join(size, "h").withColumn("own", F.pmod(F.xxhash64("seg"), F.col("m")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "seg", "c")
@@ -198,7 +198,7 @@ def _sort_hot(segments: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.binary()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["h", "seg", "a", "b"])
 
     dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-    found = cut(dealt.mapInArrow(run, "h long, seg binary, a int, b int").select(F.md5("seg").alias("k"), "h", "a", "b").distinct())
+    found = dealt.mapInArrow(run, "h long, seg binary, a int, b int").select(F.md5("seg").alias("k"), "h", "a", "b").distinct()
     hits = segments.select("h", "k", "_id", "uid", "start").join(found, ["h", "k"])
     return hits.select("_id", "uid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
@@ -207,20 +207,22 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``_id``, uid and spans (arrays of byte ranges [a, b), they may overlap) of the rows that hold repeated strings.
+def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", packed: DataFrame | None = None) -> DataFrame:
+    """uid and spans (structs of ``_id`` and a byte range [a, b); ranges may overlap) of the rows that hold repeated strings.
 
     A string of ``length`` bytes is repeated if it also starts elsewhere, in
     the same text or another. Equal windows share an anchor, so only runs whose
     anchor is found twice are gathered; each anchor's suffixes are a bucket
     that is sorted by itself, and long ties are resolved by the ranks of a
-    difference-cover sample (suffix.Block). Bytes, not hashes, decide.
+    difference-cover sample (suffix.Block). Bytes, not hashes, decide. The
+    plan shuffles ``packed`` (the same texts) by uid; whoever joins it by uid
+    again in one plan reuses that shuffle.
     """
     prepare(docs.sparkSession)
     runs = _runs(docs, text, id_col, length)
     anchors = cut(runs.select("h", "places").groupBy("h").agg(F.sum("places").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot")))
     wanted = runs.join(anchors, "h").groupBy("uid").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("runs"))
-    packed = _packed(docs, text, id_col)
+    packed = _packed(docs, text, id_col) if packed is None else packed
     kind = packed.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,9 +242,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", id_co
     segments = packed.join(wanted, "uid").mapInArrow(run, f"_id {kind}, uid long, start int, h long, hot boolean, seg binary")
     plain = _sort_plain(segments.where("not hot"), length, kind)
     if not anchors.where("hot").isEmpty():
-        hot = cut(segments.where("hot"))
-        plain = plain.unionByName(_sort_hot(hot, length))
-    return plain.groupBy("_id", "uid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        plain = plain.unionByName(_sort_hot(segments.where("hot"), length))
+    return plain.groupBy("uid").agg(F.collect_set(F.struct("_id", "a", "b")).alias("spans"))
 
 
 def _maximal(spans: list[dict]) -> list[tuple[int, int]]:
@@ -265,11 +266,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_co
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more are looked for")
-    spans = cut(repeated_spans(docs, length, text, id_col))
     packed = _packed(docs, text, id_col)
+    spans = repeated_spans(docs, length, text, id_col, packed)
     kind = packed.schema["_id"].dataType.simpleString()
-    spans = spans.withColumnRenamed("_id", "_id2").withColumnRenamed("uid", "uid2")
-    rows = packed.join(spans, (F.col("uid") == F.col("uid2")) & F.col("_id").eqNullSafe(F.col("_id2")), "left").select("_id", "z", "spans")
+    rows = packed.join(spans, "uid", "left").select("_id", "z", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [_arrow(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_co
             for at in range(0, b.num_rows, 500):
                 out = []
                 for r in b.slice(at, 500).to_pylist():
-                    raw, cuts = unpack(r["z"]), _maximal(r["spans"] or [])
+                    raw, cuts = unpack(r["z"]), _maximal([x for x in r["spans"] or [] if x["_id"] == r["_id"]])
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(raw)], strict=True))
                     out.append((r["_id"], len(raw), len(raw) - len(kept), len(cuts), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])

@@ -16,6 +16,7 @@ def prepare(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # else Spark 4.1 may drop a repartition after a union that isn't dealt by its key
     path = sc.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
