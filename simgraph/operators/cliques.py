@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgraph.functions.similarity import both_ways
 from simgraph.operators.reduce import forward, k_core, ranked
 from simgraph.operators.search import all_of_size, bits, greedy_clique, largest_clique, maximal_cliques
-from simgraph.runtime import cut
+from simgraph.runtime import cut, prepare
 
 
 def ego_edges(fwd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -26,15 +27,37 @@ def ego_edges(fwd: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     return first.withColumn("b", F.lit(None).cast("long")).unionByName(triangles.select("root", "a", "b"))
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[list[int], list[int]]:
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(key, the other columns' values) of each run of rows with one value in the first column."""
+    key, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        turns = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        columns = [c.to_pylist() for c in batch.columns[1:]]
+        for first, end in zip(turns, turns[1:], strict=False):
+            part = [c[first:end] for c in columns]
+            if held is not None and keys[first] == key:
+                for old, new in zip(held, part, strict=True):
+                    old += new
+            else:
+                if held is not None:
+                    yield int(key), held
+                key, held = keys[first], part
+    if held is not None:
+        yield int(key), held
+
+
+def matrix(a: list[int], b: list[int | None]) -> tuple[list[int], list[int]]:
     """Vertex ids and adjacency bit sets of an ego network."""
-    ids = sorted(set(pdf["a"].tolist()))
+    ids = sorted(set(a))
     place = {v: i for i, v in enumerate(ids)}
     adj = [0] * len(ids)
-    ends = pdf[pdf["b"].notna()]
-    for a, b in zip(ends["a"].astype("int64").tolist(), ends["b"].astype("int64").tolist(), strict=True):
-        adj[place[a]] |= 1 << place[b]
-        adj[place[b]] |= 1 << place[a]
+    for x, y in zip(a, b, strict=True):
+        if y is not None:
+            adj[place[x]] |= 1 << place[y]
+            adj[place[y]] |= 1 << place[x]
     return ids, adj
 
 
@@ -42,14 +65,35 @@ def _csv(members: list[int]) -> str:
     return ",".join(map(str, sorted(members)))
 
 
-def _per_root(egos: DataFrame, find: Callable[[int, list[int], list[int]], Iterator[tuple]], schema: str) -> DataFrame:
-    columns = [c.split()[0] for c in schema.split(", ")]
+def per_group(rows: DataFrame, find: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows ``find`` gives for every value of the first column and the lists of the other columns' values.
+
+    Groups are dealt by that column and streamed through Arrow in sorted order,
+    so small groups cost no call of their own.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = int(pdf["root"].iloc[0])
-        return pd.DataFrame(list(find(root, *_matrix(pdf))), columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, columns in grouped(batches):
+            out += find(key, *columns)
+            if len(out) > 5000:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
 
-    return egos.groupBy("root").applyInPandas(run, schema)
+    key = rows.columns[0]
+    prepare(rows.sparkSession)
+    return rows.repartition(F.xxhash64(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _per_root(egos: DataFrame, find: Callable[[int, list[int], list[int]], Iterator[tuple]], schema: str) -> DataFrame:
+    return per_group(egos, lambda root, a, b: find(root, *matrix(a, b)), schema)
 
 
 def greedy_bound(fwd: DataFrame) -> DataFrame:
@@ -146,15 +190,14 @@ def maximal(pairs: DataFrame, least: int) -> DataFrame:
     a, b = near.select("root", F.col("x").alias("a"), "later"), near.select("root", F.col("x").alias("b"))
     closed = a.join(fwd.select(F.col("u").alias("a"), F.col("v").alias("b")), "a").join(b, ["root", "b"]).select("root", "a", "b", "later")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = int(pdf["root"].iloc[0])
-        ids, adj = _matrix(pdf)
-        free = set(pdf.loc[pdf["b"].isna() & pdf["later"], "a"].tolist())
+    def find(root: int, a: list[int], b: list[int | None], later: list[bool]) -> Iterator[tuple]:
+        ids, adj = matrix(a, b)
+        free = {x for x, y, z in zip(a, b, later, strict=True) if y is None and z}
         left = sum(1 << i for i, v in enumerate(ids) if v in free)
-        out = [[root, *(ids[i] for i in bits(c))] for c in maximal_cliques(adj, 0, left, (1 << len(ids)) - 1 & ~left, least - 1)]
-        return pd.DataFrame([(len(m), _csv(m)) for m in out], columns=["size", "members"])
+        for c in maximal_cliques(adj, 0, left, (1 << len(ids)) - 1 & ~left, least - 1):
+            yield c.bit_count() + 1, _csv([root, *(ids[i] for i in bits(c))])
 
-    return alone.unionByName(closed).groupBy("root").applyInPandas(run, "size long, members string")
+    return per_group(alone.unionByName(closed), find, "size long, members string")
 
 
 def invalid_pairs(cliques: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from simgraph.functions.similarity import adjacency, pair_similarity, similar_pairs
+from simgraph.operators.cliques import per_group
 from simgraph.runtime import cut
 
 
@@ -127,14 +128,15 @@ def _bicliques(bi: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     near = count.withColumn("k", F.row_number().over(top)).where(F.col("k") <= s.anchors).select("seed", "l")
     rows = near.join(shared, ["seed", "l"]).select("seed", "l", "r")
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = int(pdf["seed"].iloc[0])
-        of = {l: frozenset(g) for l, g in pdf.groupby("l")["r"]}
-        left, right = [seed], of.get(seed, frozenset())
+    def grow(seed: int, lefts: list[int], rights: list[int]) -> Iterator[tuple]:
+        of: dict[int, set[int]] = {}
+        for x, y in zip(lefts, rights, strict=True):
+            of.setdefault(x, set()).add(y)
+        left, right = [seed], of.get(seed, set())
         rest = sorted(of.keys() - {seed})
         best = (0, list(left), right)
         while rest:
-            nxt = max(rest, key=lambda l: (len(of[l] & right), -l))
+            nxt = max(rest, key=lambda x: (len(of[x] & right), -x))
             both = of[nxt] & right
             if len(both) < s.least_cluster:
                 break
@@ -143,12 +145,12 @@ def _bicliques(bi: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             gain = len(left) * len(right) - len(left) - len(right)
             if gain > best[0]:
                 best = (gain, list(left), right)
-        if best[0] < s.least_gain or len(best[1]) < s.least_cluster:
-            return pd.DataFrame({"seed": [], "gain": [], "l": [], "r": []}).astype("int64")
-        pairs = [(seed, best[0], l, r) for l in best[1] for r in best[2]]
-        return pd.DataFrame(pairs, columns=["seed", "gain", "l", "r"])
+        if best[0] >= s.least_gain and len(best[1]) >= s.least_cluster:
+            for x in best[1]:
+                for y in best[2]:
+                    yield seed, best[0], x, y
 
-    claims = cut(rows.groupBy("seed").applyInPandas(grow, "seed long, gain long, l long, r long"))
+    claims = cut(per_group(rows, grow, "seed long, gain long, l long, r long"))
     win = Window.partitionBy("l", "r").orderBy(F.desc("gain"), "seed")
     lost = claims.withColumn("k", F.row_number().over(win)).where("k > 1").select("seed").distinct()
     won = claims.join(lost, "seed", "left_anti")

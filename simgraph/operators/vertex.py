@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgraph.functions.similarity import LEAST_COMMON, could_be_similar, degrees, generalized_edges, jaccard
+from simgraph.operators.cliques import matrix, per_group
 from simgraph.operators.search import largest_clique
 from simgraph.runtime import cut
 
@@ -51,17 +53,11 @@ def largest_through(edges: DataFrame, eps: float, queries: DataFrame, pairs: Dat
     inner = left.join(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), "a").join(right, ["q", "b"]).select("q", "a", "b")
     rows = region.select("q", F.col("u").alias("a"), F.lit(None).cast("long").alias("b")).unionByName(inner)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = int(pdf["q"].iloc[0])
-        ids = sorted(set(pdf["a"].tolist()) - {q})
-        place = {v: i for i, v in enumerate(ids)}
-        adj = [0] * len(ids)
-        ends = pdf[pdf["b"].notna()]
-        for a, b in zip(ends["a"].astype("int64").tolist(), ends["b"].astype("int64").tolist(), strict=True):
-            adj[place[a]] |= 1 << place[b]
-            adj[place[b]] |= 1 << place[a]
-        found, _ = largest_clique(adj, (1 << len(ids)) - 1)
-        members = sorted([q, *(v for v, i in place.items() if found >> i & 1)])
-        return pd.DataFrame([(q, len(members), ",".join(map(str, members)))], columns=["q", "size", "members"])
+    def find(q: int, a: list[int], b: list[int | None]) -> Iterator[tuple]:
+        ids, adj = matrix(a, b)
+        others = sum(1 << i for i, v in enumerate(ids) if v != q)
+        found, _ = largest_clique(adj, others)
+        members = sorted([q, *(v for i, v in enumerate(ids) if found >> i & 1)])
+        yield q, len(members), ",".join(map(str, members))
 
-    return rows.groupBy("q").applyInPandas(run, "q long, size long, members string")
+    return per_group(rows, find, "q long, size long, members string")
