@@ -175,7 +175,7 @@ def score(docs: DataFrame, flat: np.ndarray, text: str = "text", id_col: str = "
             for load, inside in _stretches(len(ids)):
                 each[load][inside] = _Pass(net, ids[load], owner[load]).log_prob[inside]
             n = np.bincount(owner, minlength=part.num_rows)
-            total = np.bincount(owner, each, minlength=part.num_rows)
+            total = np.bincount(owner, each, minlength=part.num_rows).astype(np.float64)  # numpy counts in integers where nothing is
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], names=[id_col, "n_tokens", "log_prob", "mean_log_prob"])
 

@@ -79,7 +79,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, text: str = "text", id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "_text"):
             owner, bucket = grams(*text_bytes(part.column("_text")))
-            weight = np.bincount(owner, shared.value[bucket], minlength=part.num_rows)
+            weight = np.bincount(owner, shared.value[bucket], minlength=part.num_rows).astype(np.float64)  # numpy counts in integers where nothing is
             many = np.bincount(owner, minlength=part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(many), pa.array(weight)], names=[id_col, "_h", "n_grams", "log_weight"])
 
