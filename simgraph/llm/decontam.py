@@ -56,8 +56,8 @@ def _bare(token: Column) -> Column:
 def contaminated_by(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
     """Rows (``id_col``, ``item_col``, share) of texts and the benchmark items that they hold.
 
-    Texts and items become templates; an item is held if SHARE of its distinct
-    windows of WINDOW template words are in the text with consistent slots: along
+    Texts and items become templates; an item is held if SHARE of its windows
+    of WINDOW template words are in the text with consistent slots: along
     one offset between item and text, equal values in the item's placeholders
     meet equal values in the text. A new value for each of the item's values,
     as in a re-parameterised question, is consistent. Nulls and texts without
@@ -69,17 +69,17 @@ def contaminated_by(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     items = items.select("_item", "_raw", "_words", F.posexplode(_windows(F.col("_words"))).alias("_q", "_h"))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(F.get("_words", F.col("_q") + j).isin("0", "N", "U"), F.struct(j.alias("j"), _bare(F.get("_raw", F.col("_q") + j)).alias("v")))), lambda s: s.isNotNull())
     items = items.select("_item", "_q", "_h", slots.alias("_slots"))
-    need = items.groupBy("_item").agg(F.countDistinct("_h").alias("_need"))
+    need = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_need"))
     if items.count() <= BROADCAST:
         items = F.broadcast(items)
     rows = _templated(docs, id_col, text).select("_key", "_raw", F.posexplode(_windows(F.col("_words"))).alias("_p", "_h"))
     hits = rows.join(items, "_h").select(
-        "_key", "_item", "_h", (F.col("_p") - F.col("_q")).alias("_diag"),
+        "_key", "_item", "_q", (F.col("_p") - F.col("_q")).alias("_diag"),
         F.transform("_slots", lambda s: F.struct(s.v.alias("v"), _bare(F.get("_raw", F.col("_p") + s.j)).alias("w"))).alias("_pairs"),
     )
-    lines = hits.groupBy("_key", "_item", "_diag").agg(F.collect_set("_h").alias("_hs"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"))
+    lines = hits.groupBy("_key", "_item", "_diag").agg(F.collect_set("_q").alias("_qs"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"))
     lines = lines.where(F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p.v))))
-    found = lines.select("_key", "_item", F.explode("_hs").alias("_h")).groupBy("_key", "_item").agg(F.countDistinct("_h").alias("_n"))
+    found = lines.select("_key", "_item", F.explode("_qs").alias("_q")).groupBy("_key", "_item").agg(F.countDistinct("_q").alias("_n"))
     found = found.join(need, "_item").where(F.col("_n") >= SHARE * F.col("_need"))
     return found.select(F.col("_key").alias(id_col), F.col("_item").alias(item_col), (F.col("_n") / F.col("_need")).alias("share"))
 

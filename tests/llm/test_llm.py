@@ -165,11 +165,12 @@ def test_resampling(spark):
 
 def test_decontamination(spark):
     rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
     question = "Alice bought 12 apples and 30 pears in Paris, then Alice walked 5 km to Berlin and sold 12 of her apples for 9 euros."
-    items = spark.createDataFrame([(1, question), (2, words(rng, 30, 900)), (3, None), (4, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, question), (2, say(30)), (3, None), (4, "")], "item_id long, text string")
     renamed = question.replace("Alice", "Zelda").replace("12", "77").replace("Paris", "Oslo").replace("5 km", "8 miles")
     mixed = question.replace("12 apples", "77 apples")
-    rows = [(1, "Some text. " + question + " More."), (2, "Then came this. " + renamed), (3, words(rng, 300, 900)), (4, words(rng, 20) + ". " + question.upper()), (5, "Well. " + mixed), *EDGE[:3], EDGE[5]]
+    rows = [(1, "Some text. " + question + " More."), (2, "Then came this. " + renamed), (3, say(300)), (4, say(20) + ". " + question.upper()), (5, "Well. " + mixed), *EDGE[:3], EDGE[5]]
     got = {r.doc_id: r.contaminated for r in decontam.judge(docs(spark, rows), items).collect()}
     assert got[1] and got[2] and not got[3] and not got[5] and not got[None]
     assert decontam.clean(docs(spark, rows), items).where("doc_id in (1, 2)").isEmpty()
@@ -242,3 +243,76 @@ def test_pseudo_likelihood(spark):
     got = {r.doc_id: r for r in mlm.score(docs(spark, [*EDGE, (300, "the cat sat on the mat"), (301, "mat mat cat on on the")]), flat).collect()}
     assert got[300].mean_log_prob > got[301].mean_log_prob
     assert got[1].n_tokens == 0 and got[1].mean_log_prob is None and got[5].n_tokens == 3000
+
+
+def test_decontamination_matches_brute_force(spark):
+    """Items and texts of few words, so that templates, repeats and slots collide."""
+    import regex
+
+    def template(text):
+        raw = regex.findall(decontam.TOKEN, text or "")
+        out = []
+        for i, x in enumerate(raw):
+            c, bare = x[0], regex.sub(r"^[.!?\n][^\p{L}\p{N}]*", "", x.lower())
+            if c in "0123456789":
+                out.append("0")
+            elif c in ".!?\n":
+                out.append("0" if bare[0] in "0123456789" else bare)
+            elif i and raw[i - 1][-1] in "0123456789" and x.lower() in decontam.UNITS:
+                out.append("U")
+            elif i and c != c.lower() and len(x) > 1 and x[1] != x[1].upper():
+                out.append("N")
+            else:
+                out.append(x.lower())
+        return [regex.sub(r"^[.!?\n][^\p{L}\p{N}]*|[.,]+$", "", x.lower()) for x in raw], out
+
+    def windows(t):
+        return [tuple(t[i : i + 5]) for i in range(len(t) - 4)] if len(t) >= 5 else [("short", *t)] if t else []
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["a", "b", "Ann", "Bob", "7", "8", "km", "c.", "d"]) for _ in range(n))
+    items = [(i, say(rng.choice([3, 6, 9, 12]))) for i in range(12)]
+    texts = [(i, say(rng.randrange(0, 60)) + " " + items[i % 12][1] * (i % 2)) for i in range(60)]
+    want = set()
+    for d, text in texts:
+        raw, t = template(text)
+        places = {}
+        for p, w in enumerate(windows(t)):
+            places.setdefault(w, []).append(p)
+        for k, item in items:
+            iraw, it = template(item)
+            lines = {}
+            for q, w in enumerate(windows(it)):
+                for p in places.get(w, []):
+                    line = lines.setdefault(p - q, (set(), set()))
+                    line[0].add(q)
+                    line[1].update((iraw[q + j], raw[p + j]) for j in range(5) if q + j < len(it) and it[q + j] in ("0", "N", "U"))
+            held = set().union(*(qs for qs, pairs in lines.values() if len(pairs) == len({v for v, _ in pairs})))
+            if windows(it) and len(held) >= 0.8 * len(windows(it)):
+                want.add((d, k))
+    found = decontam.contaminated_by(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and want
+
+
+def test_scores_match_brute_force(spark):
+    """Pseudo-likelihoods and importance weights by loops over single words."""
+    rng = random.Random(10)
+    rows = [(i, words(rng, rng.randrange(0, 30), 9)) for i in range(12)]
+    flat = mlm.first_net()
+    net = mlm.unflatten(flat.astype(np.float64))
+    got = {r.doc_id: r for r in mlm.score(docs(spark, rows), flat).collect()}
+    for i, text in rows:
+        ids, _ = mlm.tokens(*text_bytes(pa.array([text])))
+        total = 0.0
+        for k, w in enumerate(ids):
+            around = sum((net["left"][ids[j]] for j in range(max(0, k - mlm.REACH), k)), np.zeros(mlm.DIM)) + sum((net["right"][ids[j]] for j in range(k + 1, min(len(ids), k + mlm.REACH + 1))), np.zeros(mlm.DIM))
+            hidden, high, low = np.tanh(around), w // mlm.SIDE, w % mlm.SIDE
+            x = hidden @ net["high"] + net["high_bias"]
+            y = (hidden + net["of_high"][high]) @ net["low"] + net["low_bias"][high]
+            total += x[high] - np.log(np.exp(x).sum()) + y[low] - np.log(np.exp(y).sum())
+        assert abs(got[i].log_prob - total) < 1e-3 and got[i].n_tokens == len(ids)
+    owner, bucket = resample.grams(*text_bytes(pa.array([t for _, t in rows])))
+    ratio = np.random.default_rng(3).standard_normal(3 * resample.BUCKETS)
+    weights = {r.doc_id: r for r in resample.weigh(docs(spark, rows), ratio).collect()}
+    assert all(abs(weights[i].log_weight - ratio[bucket[owner == i]].sum()) < 1e-9 for i, _ in rows)
+    assert (resample.bucket_counts(docs(spark, rows)) == np.bincount(bucket, minlength=len(ratio))).all()
