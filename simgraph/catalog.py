@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgraph.functions import similarity
-from simgraph.operators import cliques, extras, index, reduce, vertex
+from simgraph.operators import cliques, extras, heuristics, index, reduce, vertex
 from simgraph.plans import maximum
 from simgraph.runtime import cut, prepare
 from simgraph.sources import graph
@@ -304,6 +304,39 @@ def greedy_clique_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cliques.greedy_bound(cut(reduce.forward(pairs, reduce.ranked(similarity.both_ways(pairs))))).select("root", "size")
 
 
+@_query("SELECT 0::BIGINT AS invalid, 0::BIGINT AS too_large")
+def quick_bound_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick lower bound is a clique, and no larger than the largest."""
+    edges = cut(_sc(spark, sf_dir))
+    pairs = cut(similarity.generalized_edges(edges, EPS).select("u", "v"))
+    found = heuristics.quick_bound(edges, pairs)
+    bad = cliques.invalid_pairs(_one(spark, "members string", ",".join(map(str, found))), pairs).count()
+    return _one(spark, "invalid long, too_large long", bad, max(0, len(found) - cliques.maximum_clique(pairs, 1)[0]))
+
+
+@_query(_with(_SC, _sim(0)) + "SELECT count(*) AS n FROM sim")
+def similar_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_pairs(_sc(spark, sf_dir), 0.0).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def prefix_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bi = index.bigraph(similarity.similar_pairs(_sc(spark, sf_dir), 0.0))
+    return index.prefix_clusters(cut(index.signatures(bi, 8)), 1)
+
+
+@_query()
+def index_block_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.block_stats(index.build_index(cut(_sc(spark, sf_dir))))
+
+
+@_query(_with(_SC, _CN, "r AS (SELECT u, v, c FROM cn UNION ALL SELECT v, u, c FROM cn)", "x AS (SELECT u, count(*) AS n FROM r GROUP BY u HAVING count(*) >= 2)") + "SELECT u AS l, n FROM x")
+def bigraph_left_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left vertices with at least two links in the bigraph of all pairs with enough common neighbours (one pass, left side only)."""
+    pairs = similarity.common_neighbours(_sc(spark, sf_dir)).select("u", "v", "common", F.lit(0.0).alias("score"))
+    return index.peel(index.bigraph(pairs), 2, cascade=False).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query()
 def minhash_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     bi = index.bigraph(similarity.similar_pairs(_sc(spark, sf_dir), 0.0))

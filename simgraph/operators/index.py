@@ -95,6 +95,20 @@ def lsh_clusters(bi: DataFrame, s: Settings) -> DataFrame:
     return best.unionByName(best.select("cid", F.col("cid").alias("l")).distinct())
 
 
+def prefix_clusters(sig: DataFrame, prefix: int, least: int = 2) -> DataFrame:
+    """(cid, l): vertices whose first ``prefix`` MinHash values agree, by the smallest id; a shorter rule than bands, without a threshold."""
+    rows = sig.select("l", F.slice("sig", 1, prefix).alias("head"))
+    heads = rows.groupBy("head").agg(F.min("l").alias("cid"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return rows.join(heads, "head").select("cid", "l")
+
+
+def block_stats(index: dict[str, DataFrame]) -> DataFrame:
+    """(blocks, lefts, rights, residual): how much of the relation the blocks of an index hold."""
+    member, right = index["member"], index["block_right"]
+    sizes = member.agg(F.countDistinct("z").alias("blocks"), F.count(F.lit(1)).alias("lefts"))
+    return sizes.crossJoin(right.agg(F.count(F.lit(1)).alias("rights"))).crossJoin(index["residual"].agg(F.count(F.lit(1)).alias("residual")))
+
+
 def bicluster_support(bi: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cid, r, count, size): links of each right vertex into each cluster."""
     sizes = clusters.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
