@@ -99,7 +99,48 @@ urls AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split)"""
 
+_STRIP = r"'^[.!?\n][^\p{L}\p{N}]*'"
+_TEMPLATE = f"""list_transform(raw, lambda x, i: CASE
+  WHEN x[1] BETWEEN '0' AND '9' THEN '0'
+  WHEN x[1] IN ('.', '!', '?', chr(10)) THEN CASE WHEN regexp_replace(lower(x), {_STRIP}, '')[1] BETWEEN '0' AND '9' THEN '0' ELSE regexp_replace(lower(x), {_STRIP}, '') END
+  WHEN i > 1 AND raw[i - 1][-1] BETWEEN '0' AND '9' AND lower(x) IN ({", ".join(f"'{u}'" for u in decontam.UNITS)}) THEN 'U'
+  WHEN i > 1 AND x[1] <> lower(x[1]) AND x[2] <> upper(x[2]) THEN 'N'
+  ELSE lower(x) END)"""
+
+
+def _bare_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), {_STRIP}, ''), '[.,]+$', '')"
+
+
+def _windows_sql(name: str, key: str, table: str) -> str:
+    token = decontam.TOKEN.replace("'", "''")
+    return f"""
+{name}_raw AS (SELECT {key} AS k, regexp_extract_all(text, '{token}') AS raw FROM {table} WHERE text IS NOT NULL),
+{name}_t AS (SELECT k, raw, {_TEMPLATE} AS t FROM {name}_raw),
+{name}_w AS (
+  SELECT k, raw, t, i, array_to_string(t[i:i + 4], ' ') AS w FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM {name}_t WHERE len(t) >= 5)
+  UNION ALL SELECT k, raw, t, 1, 'short: ' || array_to_string(t, ' ') FROM {name}_t WHERE len(t) BETWEEN 1 AND 4)"""
+
+
 ORACLES: dict[str, str] = {
+    "op1_template_windows": f"""
+WITH {_windows_sql("d", "doc_id", "documents")},{_windows_sql("b", "item_id", "benchmark")},
+need AS (SELECT k AS item, count(*) AS need FROM b_w GROUP BY k),
+hits AS (SELECT d.k, b.k AS item, b.i AS q, d.i - b.i AS diag, d.raw AS draw, b.raw AS braw, b.t AS bt FROM d_w d JOIN b_w b USING (w)),
+slots AS (
+  SELECT k, item, diag, q, CASE WHEN bt[q + j] IN ('0', 'N', 'U') THEN {_bare_sql("braw[q + j]")} END AS v,
+         CASE WHEN bt[q + j] IN ('0', 'N', 'U') THEN {_bare_sql("draw[q + diag + j]")} END AS w
+  FROM hits, range(0, 5) AS r(j)),
+lines AS (
+  SELECT k, item, diag, list(DISTINCT q) AS qs FROM slots GROUP BY k, item, diag
+  HAVING count(DISTINCT v) = count(DISTINCT v || chr(1) || w)),
+found AS (SELECT k, item, count(DISTINCT q) AS n FROM (SELECT k, item, unnest(qs) AS q FROM lines) GROUP BY k, item),
+kept AS (
+  SELECT k, item, n / need::DOUBLE AS share, count(*) OVER (PARTITION BY k) AS n_items,
+         row_number() OVER (PARTITION BY k ORDER BY n / need::DOUBLE DESC, item) AS best
+  FROM found JOIN need USING (item) WHERE n >= {decontam.SHARE}::DOUBLE * need)
+SELECT doc_id, k IS NOT NULL AS contaminated, item AS item_id, share, coalesce(n_items, 0)::BIGINT AS n_items
+FROM documents LEFT JOIN kept ON k = doc_id AND best = 1""",
     "op4_perspectives": """
 WITH m AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
