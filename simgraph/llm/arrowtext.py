@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step of a vectorised pass holds.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ class Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = max(n, 2 * len(cls.up))
+            n = n + n // 4
             for name, base in (("up", BASE), ("down", INVERSE)):
                 table = np.full(n, base, np.uint64)
                 table[0] = 1

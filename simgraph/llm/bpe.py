@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from simgraph.llm.arrowtext import steps
 from simgraph.llm.state import prepare
 
-#: Pieces whose ids a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 500_000
+#: Pieces whose ids a task remembers; it forgets all of them when there are more.
+REMEMBERED = 250_000
 _NONE = 1 << 62
 
 
@@ -178,14 +178,20 @@ class Memo(dict):
                 self.update(zip([p for p, _ in part], self.forest.ids([raw for _, raw in part], size), strict=True))
 
 
-_LOADED: dict[str, tuple[Ranks, Memo]] = {}
+_RANKS: dict[str, Ranks] = {}
+_MEMOS: dict[str, Memo] = {}
 
 
-def _load(path: str) -> tuple[Ranks, Memo]:
-    if path not in _LOADED:
-        ranks = Ranks(path)
-        _LOADED[path] = ranks, Memo(ranks)
-    return _LOADED[path]
+def _ranks(path: str) -> Ranks:
+    if path not in _RANKS:
+        _RANKS[path] = Ranks(path)
+    return _RANKS[path]
+
+
+def _memo(path: str) -> Memo:
+    if path not in _MEMOS:
+        _MEMOS[path] = Memo(_ranks(path))
+    return _MEMOS[path]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -200,12 +206,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, memo = regex.compile(pattern).findall, _load(path)[1]
+        pieces, memo = regex.compile(pattern).findall, _memo(path)
         for part in steps(batches, "_text"):
             split = [pieces(x) if x else [] for x in part.column("_text").to_pylist()]
             memo.learn(set().union(*split))
             got = [b"".join(map(memo.__getitem__, x)) for x in split]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], names=[*keep, ids])
+        memo.clear()  # workers outlive tasks; what they hold between them shouldn't
 
     return rows.mapInArrow(run, f"{schema}`{ids}` binary")
 
@@ -217,7 +224,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _load(path)[0].token.__getitem__
+        token = _ranks(path).token.__getitem__
         for part in steps(batches, "_ids"):
             got = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*keep, ids, out])
