@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgraph.llm import bpe, decontam, repeats, resample, simhash
-from simgraph.llm.state import checkpoint_path
+from simgraph.llm.state import checkpoint_path, cut
 
 #: Bytes of the repeated strings that stage 3 removes.
 REPEATED = 200
@@ -19,42 +19,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id isn't in ``gone``; null ids match null ids."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _row(*columns: str) -> Column:
+    """A hash of the columns of a row; nulls count by their place."""
+    return F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Importance resampling: documents that it rejects go."""
-    judged = resample.resample(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, judged.where("not kept"))
+    """Importance resampling: documents that it rejects go, each row by its own id and text."""
+    judged = resample.resample(docs, _table(spark, sf_dir, "labels"), hashed=True)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_gone"), "_h").distinct()
+    return docs.join(gone, (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash through BK-trees: of each group of linked fingerprints the document with the smallest id stays.
+    """SimHash through BK-trees: of each group of linked fingerprints one row stays, that with the smallest id.
 
-    Documents without words all have the fingerprint zero: one of them stays.
+    Null ids come last; a hash of the row decides between equal ids, and of
+    rows that are equal throughout one stays. Documents without words all have
+    the fingerprint zero: one of them stays.
     """
-    groups = simhash.near_groups(docs)
-    return _without(docs, groups.where("component_id is not null and doc_id <> component_id"))
+    rows = docs.withColumn("_row", _row(*docs.columns))
+    alike = simhash.near_roots(rows, keys=("doc_id", "_row")).groupBy("root", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    best = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"), "n")).alias("best"))
+    best = cut(best.select("best.*"))
+
+    def among(chosen: DataFrame) -> DataFrame:
+        return rows.join(chosen, (F.col("_row") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    if best.where("n > 1").isEmpty():
+        return among(best).drop("_row")
+    return among(best.where("n = 1")).unionByName(among(best.where("n > 1")).dropDuplicates(["_row"])).drop("_row")
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix buckets: every byte that a repeated string covers goes; code points that lose a byte go whole."""
-    texts = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    left = repeats.remove_repeats(texts, REPEATED).where("n_removed > 0")
-    valid = F.try_validate_utf8 if False else F.make_valid_utf8
-    new = F.replace(valid(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    left = left.select(F.col("doc_id").alias("_id"), new.alias("_new"))
-    rows = texts.join(left, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.when(F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("text"))
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Suffix buckets: every byte that a repeated string covers goes; code points that lose a byte go whole.
+
+    The other columns ride along with each text, so no row needs an id of its own.
+    """
+    texts = docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").isNull().alias("_none"))
+    left = repeats.remove_repeats(texts, REPEATED, keep=("lang", "source", "n_chars", "_none"))
+    cut_ = F.col("n_removed") > 0
+    kept = F.when(cut_, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("kept").cast("string"))
+    left = left.withColumn("text", F.when(~F.col("_none"), kept))
+    return left.select("doc_id", "text", "lang", "source", F.when(cut_, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Template windows: documents that hold a benchmark item go."""
-    return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
+    """Template windows: documents that hold a benchmark item go, each row by its own text."""
+    return decontam.clean(docs.withColumn("_row", _row("doc_id", "text")), _table(spark, sf_dir, "benchmark"), id_col="_row").drop("_row")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

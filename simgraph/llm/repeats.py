@@ -59,19 +59,25 @@ def unpack(z: bytes | None) -> bytes:
     return zstandard.decompress(z) if z else b""
 
 
-def _packed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """``_id``, uid (a hash of id and text) and the text packed by zstd, which shrinks the shuffles by half."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.select("_id", F.xxhash64("_id", F.xxhash64("_text")).alias("uid"), "_text")
+def _packed(docs: DataFrame, text: str, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``, uid (a hash of id and text), the text packed by zstd, which shrinks the shuffles by half, and the columns ``keep``."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *keep)
+    rows = rows.select("_id", F.xxhash64("_id", F.xxhash64("_text")).alias("uid"), "_text", *keep)
     kind = rows.schema["_id"].dataType.simpleString()
+    kept = _fields(rows, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for part in steps(batches, "_text"):
             z = [pack(x.encode()) for x in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["_id", "uid", "z"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary()), *map(part.column, keep)], names=["_id", "uid", "z", *keep])
 
-    return rows.mapInArrow(run, f"_id {kind}, uid long, z binary").where("uid is not null")  # as inner joins ask; so all joins shuffle alike
+    return rows.mapInArrow(run, f"_id {kind}, uid long, z binary{kept}").where("uid is not null")  # as inner joins ask; so all joins shuffle alike
+
+
+def _fields(rows: DataFrame, names: tuple[str, ...]) -> str:
+    """The end of a schema: the columns ``names`` of ``rows``."""
+    return "".join(f", `{x}` {rows.schema[x].dataType.simpleString()}" for x in names)
 
 
 def _runs(docs: DataFrame, text: str, id_col: str, length: int) -> DataFrame:
@@ -256,8 +262,8 @@ def _maximal(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row.
+def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the columns ``keep`` of every row.
 
     Every byte that a repeated string of ``length`` bytes covers goes, in all
     its places, judged on the input. Null and shorter texts lose nothing unless
@@ -266,20 +272,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_co
     """
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more are looked for")
-    packed = _packed(docs, text, id_col)
+    packed = _packed(docs, text, id_col, keep)
     spans = repeated_spans(docs, length, text, id_col, packed)
     kind = packed.schema["_id"].dataType.simpleString()
-    rows = packed.join(spans, "uid", "left").select("_id", "z", "spans")
+    rows = packed.join(spans, "uid", "left").select("_id", "z", "spans", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [_arrow(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                out = []
-                for r in b.slice(at, 500).to_pylist():
+                part, out = b.slice(at, 500), []
+                for r in part.to_pylist():
                     raw, cuts = unpack(r["z"]), _maximal([x for x in r["spans"] or [] if x["_id"] == r["_id"]])
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(raw)], strict=True))
                     out.append((r["_id"], len(raw), len(raw) - len(kept), len(cuts), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] + [part.column(x) for x in keep], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary{_fields(rows, keep)}")

@@ -112,9 +112,11 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float:
             return values[k - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", k: int | None = None, seed: int = 11) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", k: int | None = None, seed: int = 11, hashed: bool = False) -> DataFrame:
     """``id_col``, n_grams, log_weight (the whole text's), score (for SCALE n-grams, with Gumbel noise) and kept of every row.
 
+    ``hashed``: _h, the text's hash, too; rows with one id and text have one verdict.
+
     The target model counts the rows labelled 1 (LABELLED labelled rows at
     most, those with the least hashes of their ids), the raw model all rows.
     The k rows with the largest scores are kept: rows that tie with the k-th
@@ -127,7 +129,7 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str
     ratio = log_ratio(target, bucket_counts(docs, text))
     rate = F.col("log_weight") * SCALE / (F.col("n_grams") + PRIOR)
     scores = weigh(docs, ratio, text, id_col).withColumn("score", rate + gumbel(F.lit(seed), F.col(id_col), F.col("_h")))
-    scores = cut(scores.drop("_h"))
+    scores = cut(scores if hashed else scores.drop("_h"))
     if k is None:
         k = scores.where(rate >= -MARGIN).count()
     kept = F.col("score") >= F.lit(kth_largest(scores, "score", k)) if k > 0 and not scores.isEmpty() else F.lit(False)

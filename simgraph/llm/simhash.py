@@ -230,3 +230,11 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", siz
     of_fp = cut(linked.select("fp", "root").join(named, "root").select("fp", "named"))
     whole = cut(least.join(of_fp, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id")))
     return fps.join(whole, "fp").select(id_col, "fp", "component_id")
+
+
+def near_roots(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``keys``, fp and root (a fingerprint of its component, one for all of it) of every row; ids play no part."""
+    prepare(docs.sparkSession)
+    fps = cut(fingerprints(docs, text, keys, size))
+    roots = cut(components(links(cut(fps.select("fp").distinct()), radius)))
+    return fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(*keys, "fp", F.coalesce("root", "fp").alias("root"))
