@@ -23,6 +23,8 @@ EPS = 0.2
 Q = 0
 QUERY_IDS = 40
 CORE = 6
+#: The stated query vertices of a search.
+_STATED = "u % 20 = 0"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -298,6 +300,29 @@ def vertex_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vertex_gc_batch(spark, sf_dir).agg(F.count(F.lit(1)).alias("queries"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total"))
 
 
+def _stated(edges: DataFrame) -> DataFrame:
+    return edges.where(_STATED).select(F.col("u").alias("q"))
+
+
+@_query()
+def vertex_gc_batch_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``vertex_gc_batch``, through every vertex whose id 20 divides, so that the work grows with the graph."""
+    edges = cut(_sc(spark, sf_dir))
+    return vertex.largest_through(edges, EPS, _stated(edges)).select("q", "size")
+
+
+@_query()
+def vertex_gc_indexed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = cut(_sc(spark, sf_dir))
+    pairs = cut(edges.where("u < v").unionByName(index.restore(index.build_index(edges), edges, EPS)))
+    return vertex.largest_through(edges, EPS, _stated(edges), pairs).select("q", "size")
+
+
+@_query()
+def vertex_batch_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vertex_gc_batch_all(spark, sf_dir).agg(F.count(F.lit(1)).alias("queries"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("total"))
+
+
 @_query()
 def greedy_clique_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = cut(similarity.generalized_edges(_sc(spark, sf_dir), EPS).select("u", "v"))

@@ -1,10 +1,12 @@
 """Golden graphs and random graphs against brute force."""
 
+import os
 import random
 from itertools import combinations
 
 import pytest
 
+from simgraph import catalog
 from simgraph.functions.similarity import both_ways, generalized_edges, pair_similarity, adjacency, similar_pairs
 from simgraph.operators import cliques, extras, index, reduce, vertex
 from simgraph.operators.search import largest_clique, maximal_cliques
@@ -135,3 +137,22 @@ def test_stream_of_edges(spark, tmp_path):
     spark.createDataFrame([(1, 0), (2, 3)], "u long, v long").write.mode("append").parquet(source)
     ingest(spark, source, target, str(tmp_path / "state")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_searches_take_all_stated_vertices(spark):
+    edges = rows(graph.customer_supplier(spark, SF))
+    near, pairs = relation([e for e in edges if e[0] < e[1]], catalog.EPS)
+    beside = {}
+    for a, b in pairs:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    want = {(q, 1 + brute(beside[q], pairs)) for q in near if q % 20 == 0}
+    assert max(q for q, _ in want) > catalog.QUERY_IDS
+    assert rows(catalog.QUERIES["vertex_gc_batch_all"](spark, SF)) == want
+    assert rows(catalog.QUERIES["vertex_gc_indexed_all"](spark, SF)) == want
+    sizes = [size for _, size in want]
+    assert rows(catalog.QUERIES["vertex_batch_summary_all"](spark, SF)) == {(len(want), min(sizes), max(sizes), sum(sizes))}
