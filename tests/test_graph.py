@@ -156,3 +156,16 @@ def test_searches_take_all_stated_vertices(spark):
     assert rows(catalog.QUERIES["vertex_gc_indexed_all"](spark, SF)) == want
     sizes = [size for _, size in want]
     assert rows(catalog.QUERIES["vertex_batch_summary_all"](spark, SF)) == {(len(want), min(sizes), max(sizes), sum(sizes))}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_degree_ratio_takes_partners_on_both_sides(spark):
+    deg = {r.u: r["count"] for r in graph.customer_supplier(spark, SF).groupBy("u").count().collect()}
+    want = set()
+    for u, v in combinations(sorted(deg), 2):
+        low, high = sorted((deg[u], deg[v]))
+        if low >= 3 and low / high >= catalog.EPS and (u % 20 == 0 or v % 20 == 0):
+            want.add((u, v))
+    got = [tuple(r) for r in catalog.QUERIES["degree_ratio_partners"](spark, SF).collect()]
+    assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
+    assert any(u > v for u, v in got) and all(u % 20 == 0 for u, _ in got)
