@@ -14,6 +14,10 @@ from simgraph.operators.cliques import per_group
 from simgraph.runtime import cut
 
 
+#: Signatures of a band in a chunk.
+CHUNK = 1024
+
+
 @dataclass(frozen=True)
 class Settings:
     """tau: least degree in the compressed part; k hashes in ``bands``; threshold: signature similarity of a cluster's
@@ -73,26 +77,48 @@ def band_keys(sig: DataFrame, k: int, bands: int) -> DataFrame:
 
 
 def candidates(sig: DataFrame, k: int, bands: int) -> DataFrame:
-    """(centre, l, est): each vertex with the smallest id of each of its bands, and how much of their signatures agrees.
+    """(centre, l, est): pairs centre < l that share a band, and how much of their signatures agrees.
 
-    A band's members meet its smallest id only, so a popular band makes one row
-    for each member, not one for each pair.
+    The smallest id of each signature stands for it: vertices with equal
+    signatures meet that one only (est 1), and of those that stand for one,
+    every two that share a band meet (est below 1). A band with more than
+    CHUNK of them is cut into chunks by hash, every two of which meet in a
+    bucket of their own.
     """
-    keys = cut(band_keys(sig, k, bands))
-    first = keys.groupBy("band", "key").agg(F.min("l").alias("centre"))
-    pairs = keys.join(first, ["band", "key"]).where("centre < l").select("centre", "l", F.col("sig").alias("s")).distinct()
-    pairs = pairs.join(sig.select(F.col("l").alias("centre"), F.col("sig").alias("c")), "centre")
+    sig = cut(sig)
+    reps = cut(sig.groupBy("sig").agg(F.min("l").alias("l")).select("l", "sig"))
+    alike = sig.join(reps.select("sig", F.col("l").alias("centre")), "sig").where("centre < l").select("centre", "l", F.lit(1.0).alias("est"))
+    keys = cut(band_keys(reps, k, bands).select("l", "band", "key"))
+    chunks = keys.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = keys.join(chunks.drop("n"), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("l"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "l")
+    a, b = dealt.withColumnsRenamed({"l": "centre", "own": "of_centre"}), dealt
+    met = a.join(b, ["band", "key", "x", "y"]).where("centre < l and (x = y or of_centre <> own)").select("centre", "l").distinct()
+    pairs = met.join(reps.select("l", F.col("sig").alias("s")), "l").join(reps.select(F.col("l").alias("centre"), F.col("sig").alias("c")), "centre")
     same = F.size(F.filter(F.zip_with("s", "c", lambda a, b: a == b), lambda x: x))
-    return pairs.select("centre", "l", (same / F.lit(float(k))).alias("est"))
+    return alike.unionByName(pairs.select("centre", "l", (same / F.lit(float(k))).alias("est")))
 
 
 def lsh_clusters(bi: DataFrame, s: Settings) -> DataFrame:
-    """(cid, l): disjoint clusters. A vertex without a qualified smaller centre is a centre; others join the most similar of theirs that is one."""
-    close = cut(candidates(signatures(bi, s.k), s.k, s.bands).where(F.col("est") >= s.threshold))
-    taken = close.select("l").distinct()
-    free = close.join(taken.select(F.col("l").alias("centre")), "centre", "left_anti")
-    best = free.groupBy("l").agg(F.min(F.struct((-F.col("est")).alias("e"), F.col("centre").alias("cid"))).alias("best")).select(F.col("best.cid").alias("cid"), "l")
-    return best.unionByName(best.select("cid", F.col("cid").alias("l")).distinct())
+    """(cid, l): disjoint clusters. The smallest free vertex is a centre and takes what qualifies, until none is free; the taken join the most similar of their smaller centres.
+
+    In each round every vertex without a smaller free partner becomes a centre,
+    which chooses the same centres as going through the ids one by one.
+    """
+    found = cut(candidates(signatures(bi, s.k), s.k, s.bands).where(F.col("est") >= s.threshold))
+    alike, close = found.where("est = 1"), found.where("est < 1")
+    free, taken = cut(close.select("centre", "l")), close.select("l").limit(0)
+    while not free.isEmpty():
+        heads = free.select("centre").distinct().join(free.select(F.col("l").alias("centre")).distinct(), "centre", "left_anti")
+        hit = cut(free.join(heads, "centre", "left_semi").select("l").distinct())
+        taken = cut(taken.unionByName(hit))
+        free = cut(free.join(hit, "l", "left_anti").join(hit.select(F.col("l").alias("centre")), "centre", "left_anti"))
+    near = close.join(taken.select(F.col("l").alias("centre")), "centre", "left_anti")
+    best = cut(near.groupBy("l").agg(F.min(F.struct((-F.col("est")).alias("e"), F.col("centre").alias("cid"))).alias("best")).select(F.col("best.cid").alias("cid"), "l"))
+    equal = alike.join(best.select(F.col("l").alias("centre"), "cid"), "centre", "left").select(F.coalesce("cid", "centre").alias("cid"), "l")
+    joined = best.unionByName(equal)
+    return joined.unionByName(joined.select("cid", F.col("cid").alias("l")).distinct())
 
 
 def prefix_clusters(sig: DataFrame, prefix: int, least: int = 2) -> DataFrame:

@@ -169,3 +169,35 @@ def test_degree_ratio_takes_partners_on_both_sides(spark):
     got = [tuple(r) for r in catalog.QUERIES["degree_ratio_partners"](spark, SF).collect()]
     assert {(min(p), max(p)) for p in got} == want and len(got) == len(want)
     assert any(u > v for u, v in got) and all(u % 20 == 0 for u, _ in got)
+
+
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_lsh_recall_and_clusters_match_brute_force(spark, monkeypatch, chunk):
+    """Every pair that shares a band is found (through its signatures), and centres are chosen as one by one."""
+    monkeypatch.setattr(index, "CHUNK", chunk)
+    rng = random.Random(3)
+    links = {(u, r) for u in range(40) for r in ([x for x in range(8) if rng.random() < 0.6] or [0])} | {(u, r) for u in (50, 51) for r in range(8)}
+    bi = spark.createDataFrame([(a, r, 3, 0.5) for a, r in sorted(links)], "l long, r long, common long, score double")
+    s = index.Settings()
+    sig = {r.l: tuple(r.sig) for r in index.signatures(bi, s.k).collect()}
+    wide = s.k // s.bands
+    banded = {(a, b) for a, b in combinations(sorted(sig), 2) if any(sig[a][i : i + wide] == sig[b][i : i + wide] for i in range(0, s.k, wide))}
+    agree = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b], strict=True)) / s.k
+    least = {}
+    for v in sorted(sig):
+        least.setdefault(sig[v], v)
+    found = [tuple(r) for r in index.candidates(index.signatures(bi, s.k), s.k, s.bands).collect()]
+    assert len(found) == len(set(found)) and all(e == agree(a, b) for a, b, e in found)
+    pairs = {(a, b) for a, b, _ in found}
+    stand = lambda a, b: tuple(sorted((least[sig[a]], least[sig[b]])))
+    assert pairs == {(least[sig[b]], b) if sig[a] == sig[b] else stand(a, b) for a, b in banded}
+    assert any(a != min(x for x, y in banded if y == b) for a, b in pairs)
+    centres = []
+    for v in sorted(sig):
+        if not any((c, v) in banded and agree(c, v) >= s.threshold for c in centres):
+            centres.append(v)
+    got = rows(index.lsh_clusters(bi, s))
+    assert len({v for _, v in got}) == len(got)
+    assert {v for c, v in got if c != v} == set(sig) - set(centres)
+    assert {c for c, _ in got} <= set(centres)
+    assert all(c == v or (c, v) in banded and agree(c, v) >= s.threshold for c, v in got)
