@@ -57,10 +57,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The other columns ride along with each text, so no row needs an id of its own.
     """
     texts = docs.select("doc_id", "text", "lang", "source", "n_chars", F.col("text").isNull().alias("_none"))
-    left = repeats.remove_repeats(texts, REPEATED, keep=("lang", "source", "n_chars", "_none"))
+    left = repeats.remove_repeats(texts, REPEATED, keep=("lang", "source", "n_chars", "_none"), whole=True)
     cut_ = F.col("n_removed") > 0
-    kept = F.when(cut_, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))).otherwise(F.col("kept").cast("string"))
-    left = left.withColumn("text", F.when(~F.col("_none"), kept))
+    left = left.withColumn("text", F.when(~F.col("_none"), F.col("kept").cast("string")))
     return left.select("doc_id", "text", "lang", "source", F.when(cut_, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 

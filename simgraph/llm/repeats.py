@@ -262,9 +262,20 @@ def _maximal(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+def _widened(raw: bytes, a: int, b: int) -> tuple[int, int]:
+    """The byte range [a, b), widened to borders of code points."""
+    while a > 0 and raw[a] & 0xC0 == 0x80:
+        a -= 1
+    while b < len(raw) and raw[b] & 0xC0 == 0x80:
+        b += 1
+    return a, b
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept (the remaining bytes) and the columns ``keep`` of every row.
 
+    ``whole``: code points that lose a byte go whole, so that kept is valid UTF-8.
+
     Every byte that a repeated string of ``length`` bytes covers goes, in all
     its places, judged on the input. Null and shorter texts lose nothing unless
     they can hold such a string; equal rows repeat each other. Rows are told
@@ -284,6 +295,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_co
                 part, out = b.slice(at, 500), []
                 for r in part.to_pylist():
                     raw, cuts = unpack(r["z"]), _maximal([x for x in r["spans"] or [] if x["_id"] == r["_id"]])
+                    if whole:
+                        cuts = [_widened(raw, *c) for c in cuts]
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(raw)], strict=True))
                     out.append((r["_id"], len(raw), len(raw) - len(kept), len(cuts), kept))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] + [part.column(x) for x in keep], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", *keep])

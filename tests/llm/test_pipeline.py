@@ -99,3 +99,12 @@ def test_rows_are_judged_by_themselves(spark):
     assert Counter(r.text for r in got.select("text").collect()) == Counter(r.text for r in want.select("text").collect())
     ids = corpus_pipeline.encoded(spark, shared, SF)
     assert ids.count() == docs.count() and ids.where("not round_trip").isEmpty()
+
+
+def test_repeated_strings_keep_replacement_characters(spark):
+    """U+FFFD of the input stays where no repeated string covers it; code points cut at either end go whole."""
+    same = words(60, 40)
+    rows = [(1, f"a\ufffdb é{same}\u00e9 c\ufffd", "x"), (2, f"{words(61, 3)} \u00e9{same}\u00e8 \ufffd", "x"), (3, f"\u00f6\u0129{same}\u00eb", "x")]
+    got = corpus_pipeline.repeated_strings(spark, frame(spark, rows), "").collect()
+    assert all("\ufffd" in r.text for r in got if r.doc_id < 3)
+    assert Counter((r.doc_id, r.text, r.lang, r.n_chars) for r in got) == Counter(brute_repeats(rows, corpus_pipeline.REPEATED))
