@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from simgraph.llm.state import prepare
 
-#: Turns of one episode: longer conversations are rendered in parts, so that none grows a row without bound.
-EPISODE = 1024
+#: Messages of one row: the rendering of a longer dialogue is the concatenation of its parts' rows.
+PART = 1024
+#: Turn values that are counted together before they are ordered.
+SPAN = 4096
 SYSTEM = "system"
 
 
@@ -17,17 +20,39 @@ def _head(role: Column, speaker: Column) -> Column:
     return F.when(role == SYSTEM, F.lit("<|system|>\n")).when(role == speaker, F.lit("<|assistant|>\n")).otherwise(named)
 
 
-def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv, episode, speaker, n_messages, rendered and masks: one row for every participant of every episode.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with nth: the place of each message in its dialogue by turn, role and text, from 0.
+
+    Messages are counted by dialogue and turn before anything is ordered, and
+    turns by SPAN of them, so no window holds a long dialogue's texts; those
+    with one turn of one dialogue are ordered together.
+    """
+    of = [F.col("_conv").eqNullSafe(F.col("c")), F.col("_alone").eqNullSafe(F.col("a")), F.col("turn") == F.col("t")]
+    turns = rows.groupBy(F.col("_conv").alias("c"), F.col("_alone").alias("a"), F.col("turn").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    turns = turns.withColumn("s", F.floor(F.col("t") / SPAN))
+    spans = turns.groupBy("c", "a", "s").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c", "a").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("c").alias("c2"), F.col("a").alias("a2"), F.col("s").alias("s2"), before.alias("base"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("c", "a", "s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    turns = turns.withColumn("inside", inside).join(spans, F.col("c").eqNullSafe(F.col("c2")) & F.col("a").eqNullSafe(F.col("a2")) & (F.col("s") == F.col("s2")))
+    turns = turns.select("c", "a", "t", (F.col("base") + F.col("inside")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("_conv", "_alone", "turn").orderBy("role", "text"))
+    return rows.withColumn("place", place).join(turns, of[0] & of[1] & of[2]).withColumn("nth", F.col("first") + F.col("place") - 1).drop("c", "a", "t", "first", "place")
+
+
+def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part: int = PART) -> DataFrame:
+    """conv, part, speaker, n_messages, rendered and masks: one row for every participant and every ``part`` messages of a dialogue.
 
     The speaker's messages are the assistant's, the system's stay, all others
     are users with their names. masks: [start, end) code points of the
     speaker's texts in ``rendered``; the model is trained on these alone.
     Messages are ordered by turn, then role and text, so ties and repeated rows
-    have one order. A null role is ``unknown``, a null text empty, a null turn
-    0; ``<|`` in roles and texts becomes ``< |``. Messages with no conversation
-    form a dialogue for each turn, role and text. Episodes without a
-    participant (only system messages) give no row.
+    have one order. Every participant of the dialogue gets every part, silent
+    there or not: the parts' renderings in order are the whole dialogue's. A
+    null role is ``unknown``, a null text empty, a null turn 0; ``<|`` in roles
+    and texts becomes ``< |``. Messages with no conversation form a dialogue
+    for each turn, role and text. Dialogues without a participant (only system
+    messages) give no row.
     """
     prepare(messages.sparkSession)
     plain = lambda c, empty: F.replace(F.coalesce(F.col(c), F.lit(empty)), F.lit("<|"), F.lit("< |"))
@@ -35,10 +60,11 @@ def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.col(conv).alias("_conv"), F.coalesce(F.col(turn), F.lit(0)).alias("turn"), plain(role, "unknown").alias("role"), plain(text, "").alias("text")
     )
     alone = F.when(F.col("_conv").isNull(), F.xxhash64("turn", "role", "text"))
-    rows = rows.withColumn("_alone", alone).withColumn("episode", F.floor(F.col("turn") / EPISODE).cast("long"))
-    told = rows.groupBy("_conv", "_alone", "episode").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("told"))
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("told", lambda m: m.role), lambda r: r != SYSTEM)))
-    each = told.withColumn("speaker", F.explode(speakers))
+    rows = rows.withColumn("_alone", alone)
+    numbered = _numbered(rows).withColumn("part", F.floor(F.col("nth") / part).cast("long"))
+    told = numbered.groupBy("_conv", "_alone", "part").agg(F.array_sort(F.collect_list(F.struct("nth", "role", "text"))).alias("told"))
+    speakers = rows.where(F.col("role") != SYSTEM).select(F.col("_conv").alias("c"), F.col("_alone").alias("a"), F.col("role").alias("speaker")).distinct()
+    each = told.join(speakers, F.col("_conv").eqNullSafe(F.col("c")) & F.col("_alone").eqNullSafe(F.col("a")))
     parts = F.transform("told", lambda m: F.struct(_head(m.role, F.col("speaker")).alias("head"), m.text.alias("body"), (m.role == F.col("speaker")).alias("own")))
     each = each.withColumn("parts", parts)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("masks"))
@@ -51,4 +77,4 @@ def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     masks = F.aggregate("parts", start, step, lambda acc: acc.masks)
     rendered = F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body, F.lit("\n"))), "")
-    return each.select(F.col("_conv").alias(conv), "episode", "speaker", F.size("told").cast("long").alias("n_messages"), rendered.alias("rendered"), masks.alias("masks"))
+    return each.select(F.col("_conv").alias(conv), "part", "speaker", F.size("told").cast("long").alias("n_messages"), rendered.alias("rendered"), masks.alias("masks"))

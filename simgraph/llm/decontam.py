@@ -9,8 +9,8 @@ from simgraph.llm.state import prepare
 
 #: Words of a window, and the share of an item's windows that a text must hold.
 WINDOW, SHARE = 5, 0.8
-#: Windows of items that are broadcast at most; more are joined by a shuffle.
-BROADCAST = 500_000
+#: Bytes of the items' windows that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 1 << 25
 #: A word or number, with the sentence end before it if there is one.
 TOKEN = r"(?:[.!?\n][^\p{L}\p{N}]*)?(?:\p{N}[\p{N}.,]*|\p{L}[\p{L}\p{M}'-]*)"
 #: Units that a number may have (fixed values).
@@ -37,10 +37,12 @@ def _template(tokens: Column) -> Column:
     return F.transform(tokens, one)
 
 
-def _windows(words: Column) -> Column:
-    """Hashes of all runs of WINDOW template words; of the whole where there are fewer; none without words."""
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(words) >= WINDOW, runs).when(F.size(words) > 0, F.array(F.xxhash64(F.lit("short"), F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+def _windows(words: Column, raw: Column) -> Column:
+    """Hash (h) and tokens (raw) of all runs of WINDOW template words; of the whole where there are fewer; none without words."""
+    run = lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]).alias("h"), F.slice(raw, i + 1, WINDOW).alias("raw"))
+    whole = F.array(F.struct(F.xxhash64(F.lit("short"), F.array_join(words, " ")).alias("h"), raw.alias("raw")))
+    none = F.array().cast("array<struct<h:bigint,raw:array<string>>>")
+    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), run)).when(F.size(words) > 0, whole).otherwise(none)
 
 
 def _templated(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,16 +68,18 @@ def contaminated_by(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     """
     prepare(docs.sparkSession)
     items = _templated(benchmark.where(F.col(item_text).isNotNull()), item_col, item_text).withColumnRenamed("_key", "_item")
-    items = items.select("_item", "_raw", "_words", F.posexplode(_windows(F.col("_words"))).alias("_q", "_h"))
-    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(F.get("_words", F.col("_q") + j).isin("0", "N", "U"), F.struct(j.alias("j"), _bare(F.get("_raw", F.col("_q") + j)).alias("v")))), lambda s: s.isNotNull())
-    items = items.select("_item", "_q", "_h", slots.alias("_slots"))
+    items = items.select("_item", "_words", F.posexplode(_windows(F.col("_words"), F.col("_raw"))).alias("_q", "_w"))
+    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.when(F.get("_words", F.col("_q") + j).isin("0", "N", "U"), F.struct(j.alias("j"), _bare(F.get(F.col("_w.raw"), j)).alias("v")))), lambda s: s.isNotNull())
+    items = items.select("_item", "_q", F.col("_w.h").alias("_h"), slots.alias("_slots"))
     need = items.groupBy("_item").agg(F.count(F.lit(1)).alias("_need"))
-    if items.count() <= BROADCAST:
+    size = F.lit(64) + F.aggregate("_slots", F.lit(0), lambda n, s: n + 32 + F.octet_length(s.v))
+    if (items.agg(F.sum(size)).first()[0] or 0) <= BROADCAST:
         items = F.broadcast(items)
-    rows = _templated(docs, id_col, text).select("_key", "_raw", F.posexplode(_windows(F.col("_words"))).alias("_p", "_h"))
+    rows = _templated(docs, id_col, text).select("_key", F.posexplode(_windows(F.col("_words"), F.col("_raw"))).alias("_p", "_w"))
+    rows = rows.select("_key", "_p", F.col("_w.h").alias("_h"), F.col("_w.raw").alias("_raw"))  # a window's own tokens, not the text's
     hits = rows.join(items, "_h").select(
         "_key", "_item", "_q", (F.col("_p") - F.col("_q")).alias("_diag"),
-        F.transform("_slots", lambda s: F.struct(s.v.alias("v"), _bare(F.get("_raw", F.col("_p") + s.j)).alias("w"))).alias("_pairs"),
+        F.transform("_slots", lambda s: F.struct(s.v.alias("v"), _bare(F.get("_raw", s.j)).alias("w"))).alias("_pairs"),
     )
     lines = hits.groupBy("_key", "_item", "_diag").agg(F.collect_set("_q").alias("_qs"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs"))
     lines = lines.where(F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: p.v))))

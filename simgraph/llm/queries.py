@@ -11,6 +11,8 @@ from simgraph.llm import bpe, chat, decontam, mlm, repeats, resample, ring, rule
 #: The rules that op10 judges by: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 SHARDS = 40
+#: Rows that op3 draws, as a part of those that are good by the labels.
+KEPT_SHARE = 0.95
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +31,15 @@ def op2_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_grams, log_weight, score, kept of every document; the target is label quality = 1."""
-    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    """doc_id, n_grams, log_weight, score, kept of every document; the target is label quality = 1.
+
+    KEPT_SHARE of as many rows as are good by the labels are drawn, so noise decides among those near the end.
+    """
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), share=KEPT_SHARE)
 
 
 def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, episode, speaker, n_messages, rendered and masks (start:end, joined by ;)."""
+    """conv_id, part, speaker, n_messages, rendered and masks (start:end, joined by ;)."""
     found = chat.perspectives(_table(spark, sf_dir, "conversations"))
     return found.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat(m.start, F.lit(":"), m.end)), ";"))
 
@@ -46,6 +51,12 @@ def op5_ngram_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit([r[1] for r in rows], [r[2] for r in rows]))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5 without its model, which SQL can express."""
+    docs = _table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit([], [])).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op6 under the law ``rows``: shards' counts are at most one apart."""
     found = ring.bounded_ring(_table(spark, sf_dir, "documents"), SHARDS)
@@ -88,6 +99,7 @@ QUERIES = {
     "op8_simhash_bk": op8_simhash_bk,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_bloom_cascade": op10_bloom_cascade,
+    "quality_base_counts": quality_base_counts,
 }
 
 _URL_PARTS = """
@@ -141,26 +153,38 @@ kept AS (
   FROM found JOIN need USING (item) WHERE n >= {decontam.SHARE}::DOUBLE * need)
 SELECT doc_id, k IS NOT NULL AS contaminated, item AS item_id, share, coalesce(n_items, 0)::BIGINT AS n_items
 FROM documents LEFT JOIN kept ON k = doc_id AND best = 1""",
-    "op4_perspectives": """
+    "op4_perspectives": f"""
 WITH m AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
-         replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(coalesce(turn, 0) / 1024) AS BIGINT) AS episode
-  FROM conversations WHERE conv_id IS NOT NULL),
-speakers AS (SELECT DISTINCT conv_id, episode, role AS speaker FROM m WHERE role <> 'system'),
+         replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) // {chat.PART} AS part FROM m),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 parts AS (
-  SELECT s.conv_id, s.episode, s.speaker, m.turn, m.role, m.text, m.role = s.speaker AS own,
-         CASE WHEN m.role = 'system' THEN '<|system|>' WHEN m.role = s.speaker THEN '<|assistant|>'
-              ELSE '<|user name=' || m.role || '|>' END || chr(10) AS head
-  FROM speakers s JOIN m ON m.conv_id = s.conv_id AND m.episode = s.episode),
+  SELECT s.conv_id, n.part, s.speaker, n.turn, n.role, n.text, n.role = s.speaker AS own,
+         CASE WHEN n.role = 'system' THEN '<|system|>' WHEN n.role = s.speaker THEN '<|assistant|>'
+              ELSE '<|user name=' || n.role || '|>' END || chr(10) AS head
+  FROM speakers s JOIN n ON n.conv_id = s.conv_id),
 placed AS (
-  SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, episode, speaker ORDER BY turn, role, text
+  SELECT *, sum(length(head) + length(text) + 1) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS last
   FROM parts)
-SELECT conv_id, episode, speaker, count(*) AS n_messages,
+SELECT conv_id, part, speaker, count(*) AS n_messages,
        string_agg(head || text || chr(10), '' ORDER BY turn, role, text) AS rendered,
        coalesce(string_agg(CAST(last - length(text) AS BIGINT) || ':' || CAST(last AS BIGINT), ';' ORDER BY turn, role, text)
                 FILTER (WHERE own), '') AS masks
-FROM placed GROUP BY conv_id, episode, speaker""",
+FROM placed GROUP BY conv_id, part, speaker""",
+    "quality_base_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 8) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+       len(ws) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id)""",
     "op10_bloom_cascade": f"""
 WITH {_URL_PARTS},
 rules(action, h, p) AS (VALUES {", ".join(map(str, URL_RULES))}),

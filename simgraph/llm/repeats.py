@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simgraph.llm.arrowtext import between, prefix, steps, text_bytes
@@ -16,8 +16,10 @@ from simgraph.llm.suffix import repeated_windows
 
 #: Bytes of the strings whose hashes are anchors.
 GRAM = 48
-#: Runs of one anchor from which it counts as hot; distinct segments of a hot anchor in a chunk.
+#: Places of one anchor from which it counts as hot; distinct segments of a hot anchor in a chunk.
 HOT, CHUNK = 2048, 1024
+#: The same in bytes of segments.
+HOT_BYTES, CHUNK_BYTES = 1 << 22, 1 << 21
 #: Bytes of segments that are sorted at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -59,10 +61,15 @@ def unpack(z: bytes | None) -> bytes:
     return zstandard.decompress(z) if z else b""
 
 
+def _named(id_col: str, text: str) -> list[Column]:
+    """uid and check: 128 bits of a hash of a row's id and text, by which rows are told apart."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(F.col(id_col), F.xxhash64(body)).alias("uid"), F.xxhash64(F.lit(1), F.col(id_col), F.xxhash64(F.lit(2), body)).alias("check")]
+
+
 def _packed(docs: DataFrame, text: str, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``_id``, uid (a hash of id and text), the text packed by zstd, which shrinks the shuffles by half, and the columns ``keep``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *keep)
-    rows = rows.select("_id", F.xxhash64("_id", F.xxhash64("_text")).alias("uid"), "_text", *keep)
+    """``_id``, uid and check, the text packed by zstd, which shrinks the shuffles by half, and the columns ``keep``."""
+    rows = docs.select(F.col(id_col).alias("_id"), *_named(id_col, text), F.coalesce(F.col(text), F.lit("")).alias("_text"), *keep)
     kind = rows.schema["_id"].dataType.simpleString()
     kept = _fields(rows, keep)
 
@@ -70,9 +77,9 @@ def _packed(docs: DataFrame, text: str, id_col: str, keep: tuple[str, ...] = ())
         pack = zstandard.ZstdCompressor(level=1).compress
         for part in steps(batches, "_text"):
             z = [pack(x.encode()) for x in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary()), *map(part.column, keep)], names=["_id", "uid", "z", *keep])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(z, pa.binary()), *map(part.column, keep)], names=["_id", "uid", "check", "z", *keep])
 
-    return rows.mapInArrow(run, f"_id {kind}, uid long, z binary{kept}").where("uid is not null")  # as inner joins ask; so all joins shuffle alike
+    return rows.mapInArrow(run, f"_id {kind}, uid long, check long, z binary{kept}").where("uid is not null")  # as inner joins ask; so all joins shuffle alike
 
 
 def _fields(rows: DataFrame, names: tuple[str, ...]) -> str:
@@ -81,16 +88,16 @@ def _fields(rows: DataFrame, names: tuple[str, ...]) -> str:
 
 
 def _runs(docs: DataFrame, text: str, id_col: str, length: int) -> DataFrame:
-    """uid, anchor, start, windows and places of the anchor (2 for more) of every run of every text."""
-    rows = docs.select(F.xxhash64(F.col(id_col), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).alias("uid"), F.col(text).alias("_text"))
+    """uid, check, anchor, start, windows and places of the anchor (2 for more) of every run of every text."""
+    rows = docs.select(*_named(id_col, text), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, "_text", 1 << 19):
             anchor, owner, start, many, places = anchored_runs(*text_bytes(part.column("_text")), length)
-            uid = part.column("uid").to_numpy()[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32))], names=["uid", "h", "start", "n", "places"])
+            uid, check = (part.column(x).to_numpy()[owner] for x in ("uid", "check"))
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(check), pa.array(anchor.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(np.minimum(places, 2).astype(np.int32))], names=["uid", "check", "h", "start", "n", "places"])
 
-    return rows.mapInArrow(run, "uid long, h long, start int, n int, places int")
+    return rows.mapInArrow(run, "uid long, check long, h long, start int, n int, places int")
 
 
 def _flagged(segments: list[bytes], many: np.ndarray, group: np.ndarray, length: int) -> list[np.ndarray]:
@@ -161,8 +168,8 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[li
         yield rows
 
 
-def _sort_plain(segments: DataFrame, length: int, kind: str) -> DataFrame:
-    """Covered ranges (_id, uid, a, b) of segments whose anchors aren't hot: one bucket of suffixes for each anchor."""
+def _sort_plain(segments: DataFrame, length: int) -> DataFrame:
+    """Covered ranges (uid, check, a, b) of segments whose anchors aren't hot: one bucket of suffixes for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches, ["h"]):
@@ -171,24 +178,24 @@ def _sort_plain(segments: DataFrame, length: int, kind: str) -> DataFrame:
                 g = groups.setdefault((r["h"],), {})
                 g[r["seg"]] = g.get(r["seg"], 0) + 1
             covered = {(k, s): c for k, s, c in _sorted_blocks(groups, length)}
-            out = [(r["_id"], r["uid"], r["start"] + a, r["start"] + b) for r in rows for a, b in covered.get(((r["h"],), r["seg"]), ())]
+            out = [(r["uid"], r["check"], r["start"] + a, r["start"] + b) for r in rows for a, b in covered.get(((r["h"],), r["seg"]), ())]
             if out:
-                i, u, a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, _arrow(kind)), pa.array(u, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["_id", "uid", "a", "b"])
+                u, v, a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["uid", "check", "a", "b"])
 
-    return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"_id {kind}, uid long, a int, b int")
+    return segments.repartition("h").sortWithinPartitions("h").mapInArrow(run, "uid long, check long, a int, b int")
 
 
 def _sort_hot(segments: DataFrame, length: int) -> DataFrame:
-    """Covered ranges (_id, uid, a, b) of segments with hot anchors.
+    """Covered ranges (uid, check, a, b) of segments with hot anchors.
 
     Equal segments are counted before they are dealt; a bucket with more than
-    CHUNK distinct ones is cut into chunks by hash, and every two chunks meet
-    in a bucket of their own.
+    CHUNK distinct ones, or CHUNK_BYTES of them, is cut into chunks by hash,
+    and every two chunks meet in a bucket of their own.
     """
     segments = segments.withColumn("k", F.md5("seg"))
     distinct = segments.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"))
-    size = distinct.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("m"))
+    size = distinct.groupBy("h").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum(F.octet_length("seg")) / CHUNK_BYTES)).cast("int").alias("m"))
     rows = distinct.join(size, "h").withColumn("own", F.pmod(F.xxhash64("seg"), F.col("m")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "seg", "c")
@@ -205,16 +212,12 @@ def _sort_hot(segments: DataFrame, length: int) -> DataFrame:
 
     dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
     found = dealt.mapInArrow(run, "h long, seg binary, a int, b int").select(F.md5("seg").alias("k"), "h", "a", "b").distinct()
-    hits = segments.select("h", "k", "_id", "uid", "start").join(found, ["h", "k"])
-    return hits.select("_id", "uid", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    hits = segments.select("h", "k", "uid", "check", "start").join(found, ["h", "k"])
+    return hits.select("uid", "check", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", packed: DataFrame | None = None) -> DataFrame:
-    """uid and spans (structs of ``_id`` and a byte range [a, b); ranges may overlap) of the rows that hold repeated strings.
+    """uid and spans (structs of ``check`` and a byte range [a, b); ranges may overlap) of the rows that hold repeated strings.
 
     A string of ``length`` bytes is repeated if it also starts elsewhere, in
     the same text or another. Equal windows share an anchor, so only runs whose
@@ -222,34 +225,38 @@ def repeated_spans(docs: DataFrame, length: int = 200, text: str = "text", id_co
     that is sorted by itself, and long ties are resolved by the ranks of a
     difference-cover sample (suffix.Block). Bytes, not hashes, decide. The
     plan shuffles ``packed`` (the same texts) by uid; whoever joins it by uid
-    again in one plan reuses that shuffle.
+    again in one plan reuses that shuffle. A periodic text is one run as long
+    as itself: one segment, which a single task holds as it holds the text.
     """
     prepare(docs.sparkSession)
     runs = _runs(docs, text, id_col, length)
-    anchors = cut(runs.select("h", "places").groupBy("h").agg(F.sum("places").alias("c")).where("c > 1").select("h", (F.col("c") > HOT).alias("hot")))
-    wanted = runs.join(anchors, "h").groupBy("uid").agg(F.collect_set(F.struct("start", "n", "h", "hot")).alias("runs"))
+    many = runs.select("h", "places", (F.col("n") + (length - 1)).alias("size")).groupBy("h").agg(F.sum("places").alias("c"), F.sum("size").alias("size"))
+    anchors = cut(many.where("c > 1").select("h", ((F.col("c") > HOT) | (F.col("size") > HOT_BYTES)).alias("hot")))
+    wanted = runs.join(anchors, "h").groupBy("uid").agg(F.collect_set(F.struct("check", "start", "n", "h", "hot")).alias("runs"))
     packed = _packed(docs, text, id_col) if packed is None else packed
-    kind = packed.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "uid", "start", "h", "hot", "seg"]
-        kinds = [_arrow(kind), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+        names = ["uid", "check", "start", "h", "hot", "seg"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         out: list[tuple] = []
+        held = 0
         for b in batches:
             for r in b.to_pylist():
                 raw = unpack(r["z"])
-                out += [(r["_id"], r["uid"], x["start"], x["h"], x["hot"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in r["runs"]]
-                if len(out) > 20_000:
+                new = [(r["uid"], r["check"], x["start"], x["h"], x["hot"], raw[x["start"] : x["start"] + x["n"] + length - 1]) for x in r["runs"] if x["check"] == r["check"]]
+                held += sum(len(x[5]) for x in new)
+                out += new
+                if len(out) > 20_000 or held > 4 * BLOCK_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                    out = []
+                    out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    segments = packed.join(wanted, "uid").mapInArrow(run, f"_id {kind}, uid long, start int, h long, hot boolean, seg binary")
-    plain = _sort_plain(segments.where("not hot"), length, kind)
+    segments = packed.select("uid", "check", "z").join(wanted, "uid").mapInArrow(run, "uid long, check long, start int, h long, hot boolean, seg binary")
+    plain = _sort_plain(segments.where("not hot"), length)
     if not anchors.where("hot").isEmpty():
         plain = plain.unionByName(_sort_hot(segments.where("hot"), length))
-    return plain.groupBy("uid").agg(F.collect_set(F.struct("_id", "a", "b")).alias("spans"))
+    return plain.groupBy("uid").agg(F.collect_set(F.struct("check", "a", "b")).alias("spans"))
 
 
 def _maximal(spans: list[dict]) -> list[tuple[int, int]]:
@@ -279,26 +286,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", id_co
     Every byte that a repeated string of ``length`` bytes covers goes, in all
     its places, judged on the input. Null and shorter texts lose nothing unless
     they can hold such a string; equal rows repeat each other. Rows are told
-    apart by id and text.
+    apart by 128 bits of a hash of id and text. Ids may have any type.
     """
+    prepare(docs.sparkSession)
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes or more are looked for")
     packed = _packed(docs, text, id_col, keep)
     spans = repeated_spans(docs, length, text, id_col, packed)
     kind = packed.schema["_id"].dataType.simpleString()
-    rows = packed.join(spans, "uid", "left").select("_id", "z", "spans", *keep)
+    rows = packed.join(spans, "uid", "left").select("_id", "check", "z", "spans", *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [_arrow(kind), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, out = b.slice(at, 500), []
                 for r in part.to_pylist():
-                    raw, cuts = unpack(r["z"]), _maximal([x for x in r["spans"] or [] if x["_id"] == r["_id"]])
+                    raw, cuts = unpack(r["z"]), _maximal([x for x in r["spans"] or [] if x["check"] == r["check"]])
                     if whole:
                         cuts = [_widened(raw, *c) for c in cuts]
                     kept = b"".join(raw[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(raw)], strict=True))
-                    out.append((r["_id"], len(raw), len(raw) - len(kept), len(cuts), kept))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] + [part.column(x) for x in keep], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", *keep])
+                    out.append((len(raw), len(raw) - len(kept), len(cuts), kept))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)), *map(part.column, keep)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", *keep])
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary{_fields(rows, keep)}")

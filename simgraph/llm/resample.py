@@ -17,8 +17,8 @@ BUCKETS, LABELLED = 1 << 16, 20_000
 #: Counts by which a bucket's ratio is drawn towards one.
 SMOOTH = 5.0
 #: A text's weight is taken for SCALE n-grams, of its own and PRIOR neutral ones, so that long texts and
-#: a small drift of the target (say, of its languages) don't decide; MARGIN nats against it are no evidence.
-SCALE, PRIOR, MARGIN = 100.0, 20.0, 15.0
+#: a small drift of the target (say, of its languages) don't decide.
+SCALE, PRIOR = 100.0, 20.0
 #: Bins of a step of the search for the k-th score; scores that may be fetched to end it.
 BINS, FETCHED = 2048, 4096
 _KINDS = 3
@@ -44,6 +44,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """How often each bucket occurs in all of ``docs``; tasks add up their own before the shuffle."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_KINDS * BUCKETS, np.int64)
@@ -112,25 +113,28 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> float:
             return values[k - 1]
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", k: int | None = None, seed: int = 11, hashed: bool = False) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", k: int | None = None, share: float = 1.0, seed: int = 11, hashed: bool = False) -> DataFrame:
     """``id_col``, n_grams, log_weight (the whole text's), score (for SCALE n-grams, with Gumbel noise) and kept of every row.
 
     ``hashed``: _h, the text's hash, too; rows with one id and text have one verdict.
 
     The target model counts the rows labelled 1 (LABELLED labelled rows at
     most, those with the least hashes of their ids), the raw model all rows.
-    The k rows with the largest scores are kept: rows that tie with the k-th
-    stay too. Without ``k`` it is the number of rows whose weight for SCALE
-    n-grams is no less than -MARGIN. Without labelled rows all weigh zero.
+    Gumbel top-k: the k rows with the largest sums of weight and noise are
+    kept, which is a draw without replacement in proportion to the exponential
+    of the weights; rows that tie with the k-th stay too. Without ``k`` it is
+    ``share`` times the part of the labelled rows that is labelled 1, of all
+    rows. Without labelled rows all weigh zero and all are kept.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("_label"))
-    good = marked.orderBy(F.xxhash64(id_col), id_col).limit(LABELLED).where("_label = 1").select(id_col)
-    target = bucket_counts(docs.join(F.broadcast(good), id_col, "left_semi"), text)
+    marked = marked.orderBy(F.xxhash64(id_col), id_col).limit(LABELLED)
+    target = bucket_counts(docs.join(F.broadcast(marked.where("_label = 1").select(id_col)), id_col, "left_semi"), text)
     ratio = log_ratio(target, bucket_counts(docs, text))
     rate = F.col("log_weight") * SCALE / (F.col("n_grams") + PRIOR)
     scores = weigh(docs, ratio, text, id_col).withColumn("score", rate + gumbel(F.lit(seed), F.col(id_col), F.col("_h")))
     scores = cut(scores if hashed else scores.drop("_h"))
     if k is None:
-        k = scores.where(rate >= -MARGIN).count()
+        good, known = marked.agg(F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
+        k = round(scores.count() * (share * good / known if good else 1.0))
     kept = F.col("score") >= F.lit(kth_largest(scores, "score", k)) if k > 0 and not scores.isEmpty() else F.lit(False)
     return scores.withColumn("kept", kept)

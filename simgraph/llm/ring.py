@@ -15,6 +15,10 @@ from simgraph.llm.state import cut, prepare
 #: so what the driver sees and what is broadcast doesn't grow with the rows.
 CELL_BITS = 14
 VIRTUAL_NODES = 64
+#: Bits of the position behind a cell's: so many parts of a cell are ranked by themselves.
+PART_BITS = 4
+#: Equal rows that are numbered together.
+CHUNK = 1 << 16
 
 
 def ring_nodes(shards: int, virtual: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -82,14 +86,22 @@ def bounded_ring(docs: DataFrame, shards: int, text: str = "text", id_col: str =
     No shard holds more than (1 + slack) times an equal share of the rows; with
     no slack the counts are at most one apart. Slots are gapless from 0 in each
     shard. Null text: size 16, crc 0. Repeated rows are placed one by one; an
-    empty table gives no rows.
+    empty table gives no rows. Rows of a cell are ranked by position, id, crc
+    and size, so where they go doesn't depend on how the table is split. Equal
+    rows are counted before the shuffle and numbered after it. The driver sees
+    one count for each cell; 16 for each are broadcast.
     """
     prepare(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     place = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), body)))
-    cell = F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")
-    counted = docs.select(cell.alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = {r.cell: r.n for r in counted}
+    cell = F.shiftrightunsigned("_place", 64 - CELL_BITS).cast("int")
+    size = F.octet_length(body).cast("long") + 16
+    rows = docs.select(F.col(id_col).alias(id_col), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), place.alias("_place"))
+    keys = ["cell", "_part", "_place", id_col, "text_crc32", "size"]
+    part = F.shiftrightunsigned("_place", 64 - CELL_BITS - PART_BITS).bitwiseAND(F.lit((1 << PART_BITS) - 1)).cast("int")
+    rows = cut(rows.withColumn("cell", cell).withColumn("_part", part).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))  # equal rows are one, with their number
+    sizes = cut(rows.groupBy("cell", "_part").agg(F.sum("n").alias("n")))
+    counts = {r.cell: r.n for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     parts = plan(counts, shards, capacities(sum(counts.values()), shards, slack), virtual)
     filled = [0] * shards
     table = []
@@ -97,9 +109,12 @@ def bounded_ring(docs: DataFrame, shards: int, text: str = "text", id_col: str =
         table.append((c, first, end, shard, filled[shard]))
         filled[shard] += end - first
     spread = docs.sparkSession.createDataFrame(table, "cell int, first long, end long, shard int, base long")
-    size = F.octet_length(body).cast("long") + 16
-    rows = docs.select(F.col(id_col).alias(id_col), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), place.alias("_place"), cell.alias("cell"))
-    order = Window.partitionBy("cell").orderBy("_place", id_col, "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(order).cast("long") - 1)
+    above = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = rows.withColumn("_first", above(keys[:2], keys[2:])).join(F.broadcast(sizes.select("cell", "_part", above(["cell"], ["_part"]).alias("_before"))), keys[:2])
+    first = first.withColumn("_first", F.col("_before") + F.col("_first")).withColumn("_last", F.col("_first") + F.col("n") - 1)
+    chunks = first.withColumn("_first", F.explode(F.sequence("_first", "_last", F.lit(CHUNK).cast("long"))))
+    if not rows.where(F.col("n") > CHUNK).isEmpty():
+        chunks = chunks.repartition("cell", "_first")
+    ranked = chunks.withColumn("_rank", F.explode(F.sequence("_first", F.least("_last", F.col("_first") + (CHUNK - 1)))))
     placed = ranked.join(F.broadcast(spread), "cell").where("_rank >= first AND _rank < end")
     return placed.select(id_col, "size", "text_crc32", "shard", (F.col("base") + F.col("_rank") - F.col("first")).alias("slot"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgraph.llm.arrowtext import between, mix, prefix, steps, text_bytes, words
+from simgraph.llm.arrowtext import STEP_BYTES, between, mix, prefix, steps, text_bytes, words
 from simgraph.llm.state import prepare
 
-#: Labelled rows that the model is fitted on, at most: those with the least hashes of their ids.
-LABELLED = 4000
+#: Labelled rows that the model is fitted on, at most, and bytes of their texts: those with the least hashes of their ids.
+LABELLED, LABELLED_BYTES = 4000, 1 << 25
 #: Buckets of hashed n-grams, bytes of a character n-gram, words of a repeated window.
 BUCKETS = 1 << 17
 CHARS = 4
@@ -31,14 +33,42 @@ def _per_text(marks: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _again(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are found twice or more, and which of those aren't the first."""
+def _again(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which values are found twice or more, which of those aren't the first, and each of the latter with the one before it."""
     order = np.argsort(values, kind="stable")
     same = values[order[1:]] == values[order[:-1]]
     twice, later = np.zeros(len(values), bool), np.zeros(len(values), bool)
     later[order[1:][same]] = True
     twice[order[1:][same]] = twice[order[:-1][same]] = True
-    return twice, later
+    return twice, later, order[1:][same], order[:-1][same]
+
+
+def _differ(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which of the ranges [a, a_end) hold other bytes than [b, b_end); a step looks at about STEP_BYTES of them."""
+    out = a_end - a != b_end - b
+    open_ = np.flatnonzero(~out & (a_end > a))
+    size = np.cumsum((a_end - a)[open_])
+    at = 0
+    while at < len(open_):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP_BYTES, "right")))
+        part = open_[at:end]
+        many = (a_end - a)[part]
+        first = np.cumsum(many) - many
+        along = np.arange(many.sum()) - np.repeat(first, many)
+        wrong = data[np.repeat(a[part], many) + along] != data[np.repeat(b[part], many) + along]
+        out[part] = np.logical_or.reduceat(wrong, first)
+        at = end
+    return out
+
+
+def _plainly(raw: bytes) -> tuple[int, int]:
+    """n_dup_lines and n_repeat_words of one text by its bytes, for texts in which two hashes have met by chance."""
+    filled = [x for x in raw.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
+    parts = [x for x in re.split(rb"[\x20\x09-\x0d]+", raw) if x]
+    runs = [tuple(parts[i : i + WINDOW]) for i in range(len(parts) - WINDOW + 1)]
+    many = Counter(runs)
+    covered = {j for i, r in enumerate(runs) if many[r] > 1 for j in range(i, i + WINDOW)}
+    return len(filled) - len(set(filled)), len(covered)
 
 
 def _runs(hashes: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +96,11 @@ class Counts:
 
 
 def measure(data: np.ndarray, off: np.ndarray) -> Counts:
-    """All counts of a batch of texts, without a loop over them."""
+    """All counts of a batch of texts, without a loop over them.
+
+    Hashes propose equal lines and windows; every two that they make neighbours
+    are compared byte by byte, and texts in which two differ are counted anew.
+    """
     n = len(off) - 1
     starts, ends, count = words(data, off)
     owner = np.repeat(np.arange(n), count)
@@ -81,12 +115,20 @@ def measure(data: np.ndarray, off: np.ndarray) -> Counts:
     line_ends = np.minimum(breaks[np.searchsorted(breaks, line_starts)], off[line_owner + 1])
     filled = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, line_owner = line_starts[filled], line_ends[filled], line_owner[filled]
-    _, later = _again(mix(between(sums, line_starts, line_ends) + line_owner.astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+    _, later, x, y = _again(mix(between(sums, line_starts, line_ends) + line_owner.astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+    odd = line_owner[x[_differ(data, line_starts[x], line_ends[x], line_starts[y], line_ends[y])]]
     run, at = _runs(word, owner, WINDOW)
-    twice, _ = _again(mix(run + owner[at].astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+    twice, _, x, y = _again(mix(run + owner[at].astype(np.uint64) * np.uint64(0x94D049BB133111EB)))
+    if len(x):
+        met = np.unique((at[x][:, None] + np.arange(WINDOW)) << 32 | (at[y][:, None] + np.arange(WINDOW)))
+        x, y = met >> 32, met & 0xFFFFFFFF
+        odd = np.concatenate([odd, owner[x[_differ(data, starts[x], ends[x], starts[y], ends[y])]]])
     cover = np.zeros(len(word) + 1, np.int64)
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + WINDOW, -1)
+    n_dup_lines, n_repeat_words = np.bincount(line_owner[later], minlength=n), np.bincount(owner[np.cumsum(cover)[:-1] > 0], minlength=n)
+    for i in np.unique(odd).tolist():
+        n_dup_lines[i], n_repeat_words[i] = _plainly(data[off[i] : off[i + 1]].tobytes())
     pair, pair_at = _runs(word, owner, 2)
     pair[word[pair_at] == word[pair_at + 1]] = 0  # a word said twice is one feature, whatever the word
     chars = np.arange(max(0, len(data) - CHARS + 1))
@@ -99,7 +141,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> Counts:
     odd = np.uint64(0xD6E8FEB86659FD93)
     return Counts(
         count, _per_text(ink & heads, off), _per_text(_SYMBOLS[data], off),
-        np.bincount(line_owner[later], minlength=n), np.bincount(owner[np.cumsum(cover)[:-1] > 0], minlength=n),
+        n_dup_lines, n_repeat_words,
         [(owner, (word >> top).astype(np.int64)), (owner[pair_at], (pair >> top).astype(np.int64)), (char_owner[chars], (packed[chars] * odd >> top).astype(np.int64))],
     )
 
@@ -180,15 +222,30 @@ def fit(texts: list[str | None], good: list[int], epochs: int = 8, rate: float =
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, text: str = "text", id_col: str = "doc_id") -> list:
-    """(text, label) of at most ``limit`` labelled rows: those with the least hashes of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, limit: int, text: str = "text", id_col: str = "doc_id", most_bytes: int = LABELLED_BYTES) -> list:
+    """(id, text, label) of at most ``limit`` labelled rows with ``most_bytes`` of text in all: those with the least hashes of their ids.
 
-    Rows without a label are left out; of several labels of an id the least counts.
+    Rows without a label or an id are left out; of several labels of an id the
+    least counts, of several rows the text with the least hash. Only sizes are
+    fetched before the choice, so the driver never holds more text than that.
     """
     ids = labels.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(column).alias("_label"))
     ids = ids.orderBy(F.xxhash64(id_col), id_col).limit(limit)
-    rows = docs.select(F.col(id_col), F.col(text).alias("_text")).join(F.broadcast(ids), id_col)
-    return sorted((r[0], r[1] or "", int(r[2])) for r in rows.limit(2 * limit).collect())[:limit]
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    found = rows.join(F.broadcast(ids), id_col).select(id_col, "_label", F.octet_length("_text").alias("n"), F.xxhash64("_text").alias("h"))
+    sizes = found.groupBy(id_col, "_label").agg(F.min(F.struct("h", "n")).alias("one")).orderBy(F.xxhash64(id_col), id_col).collect()
+    held, chosen = 0, []
+    for r in sizes:
+        held += r.one.n
+        if held > most_bytes:
+            break
+        chosen.append((r[0], r.one.h, int(r._label)))
+    if not chosen:
+        return []
+    kind = rows.schema[id_col].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(chosen, f"`{id_col}` {kind}, h long, _label int")
+    kept = rows.withColumn("h", F.xxhash64("_text")).join(F.broadcast(wanted), [id_col, "h"])
+    return sorted((r[0], r[1], r[2]) for r in kept.groupBy(id_col, "_label").agg(F.min("_text").alias("t")).select(id_col, "t", "_label").collect())
 
 
 def judge(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -167,25 +167,37 @@ def spanning_links(words: np.ndarray, groups: np.ndarray, radius: int) -> tuple[
     return words[linked], words[label[linked]]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 2 blocks of the 64 bits: near pairs agree on two of them at least."""
-    n = radius + 2
+def _blocks(radius: int, shared: int) -> list[tuple[int, int]]:
+    """(shift, width) of radius + shared blocks of the 64 bits: near pairs agree on ``shared`` of them at least."""
+    n = radius + shared
     cuts = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def shared_blocks(n: int, radius: int) -> int:
+    """How many blocks a key takes (2 to 5) so that a key of random words holds no more than a quarter CHUNK of ``n``."""
+    return next((s for s in range(2, 5) if 4 * n <= CHUNK << 64 * s // (radius + s)), 5)
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows (a, b) of near fingerprints of the distinct longs ``fp``; chains of them connect all that is near.
 
-    Fingerprints within the radius agree on two whole blocks out of radius + 2.
-    Each pair of blocks is a key; BK-trees over the words of each key in a
+    Fingerprints within the radius agree on s whole blocks out of radius + s;
+    s grows with the number of fingerprints (shared_blocks), so that keys stay
+    small. Every s blocks are a key; BK-trees over the words of each key in a
     partition (a shard) are searched along the edges within the radius. A key
     with more than CHUNK words is cut into chunks by hash, and every two chunks
     meet in a tree of their own: no key grows a task, no pair is lost.
     """
-    blocks = _blocks(radius)
+    shared = shared_blocks(fps.count(), radius)
+    blocks = _blocks(radius, shared)
     part = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in blocks]
-    keys = [F.lit(c << 48) + part[i] * F.lit(1 << blocks[j][1]) + part[j] for c, (i, j) in enumerate(combinations(range(len(blocks)), 2))]
+    keys = []
+    for c, chosen in enumerate(combinations(range(len(blocks)), shared)):
+        key = F.lit(c)
+        for i in chosen:
+            key = key * F.lit(1 << blocks[i][1]) + part[i]
+        keys.append(key.cast("long"))
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
     hot = cut(hot.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("c")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Modulus of the cover, and bytes that sample ranks look at.
+#: Modulus of the cover, and bytes that sample ranks look at if no more are asked for.
 PERIOD, DEPTH = 16, 256
 
 
@@ -37,22 +37,22 @@ def _dense(*keys: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A text and the ranks of its cover sample, by which ties of any length are resolved."""
+    """A text and the ranks of its cover sample, by which ties of up to ``depth`` bytes (a power of two) are resolved."""
 
-    def __init__(self, text: np.ndarray):
-        self.size = len(text)
-        padded = np.concatenate([text, np.zeros(DEPTH + 2 * PERIOD, np.uint8)]).astype(np.uint64)
+    def __init__(self, text: np.ndarray, depth: int = DEPTH):
+        self.size, self.depth = len(text), depth
+        padded = np.concatenate([text, np.zeros(depth + 2 * PERIOD, np.uint8)]).astype(np.uint64)
         n = len(padded) - 7
         self.word = np.zeros(n, np.uint64)
         for k in range(8):
             self.word |= padded[k : k + n] << np.uint64(8 * (7 - k))
         sample = np.flatnonzero(_IN[np.arange(self.size + PERIOD) % PERIOD])
-        rank = np.zeros(self.size + DEPTH + 2 * PERIOD, np.int64)
+        rank = np.zeros(self.size + depth + 2 * PERIOD, np.int64)
         rank[sample] = _dense(self.word[sample], self.word[sample + 8]) + 1
-        depth = PERIOD
-        while depth < DEPTH and int(rank.max(initial=0)) < len(sample):
-            rank[sample] = _dense(rank[sample] << 32 | rank[sample + depth]) + 1
-            depth *= 2
+        seen = PERIOD
+        while seen < depth and int(rank.max(initial=0)) < len(sample):
+            rank[sample] = _dense(rank[sample] << 32 | rank[sample + seen]) + 1
+            seen *= 2
         self.rank = rank
 
     def order(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ class Block:
         mixed[heads[1:][heads[1:] == heads[:-1]]] = True
         mixed = mixed[tie]
         if mixed.any():
-            big = np.int64(self.size + DEPTH + 2 * PERIOD)
+            big = np.int64(self.size + self.depth + 2 * PERIOD)
             by_residue = [np.flatnonzero(mixed & (residue == r)) for r in range(PERIOD)]
             for r, mine in enumerate(by_residue):
                 for s, other in enumerate(by_residue):
@@ -103,8 +103,11 @@ class Block:
 
 
 def repeated_windows(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows of ``length`` bytes from ``at`` on equal another one of their group."""
-    block = Block(text)
+    """Which of the windows of ``length`` bytes (8 or more) from ``at`` on equal another one of their group.
+
+    Ranks reach past ``length``, so equal windows are neighbours in the order.
+    """
+    block = Block(text, max(DEPTH, 1 << (length + PERIOD - 1).bit_length()))
     order, tied = block.order(at, group)
     out = np.zeros(len(at), bool)
     later = np.flatnonzero(tied)

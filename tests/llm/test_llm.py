@@ -37,6 +37,32 @@ def corpus(seed=1):
     return list(enumerate(texts)) + [(None, texts[0]), (100, None), (101, "")]
 
 
+def test_labelled_sample_is_bounded(spark):
+    rows = docs(spark, [(i, "x" * 100) for i in range(50)] + [(3, "y" * 100), (None, "z"), (60, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)] + [(4, 1), (5, None), (None, 1)], "doc_id long, quality int")
+    got = rules.labelled_sample(rows, labels, "quality", 4000)
+    assert len(got) == 51 and len({r[0] for r in got}) == 51 and (60, "", 0) in got and (4, "x" * 100, 0) in got
+    some = rules.labelled_sample(rows, labels, "quality", 4000, most_bytes=1000)
+    assert len(some) in (10, 11) and set(some) <= set(got)
+    assert rules.labelled_sample(rows, labels.limit(0), "quality", 4000) == []
+
+
+@pytest.mark.parametrize("shared", [2, 3, 4])
+def test_links_on_any_number_of_blocks(spark, monkeypatch, shared):
+    rng = np.random.default_rng(shared)
+    base = rng.integers(0, 1 << 62, 30, dtype=np.uint64)
+    words_ = np.unique(np.concatenate([base, *(base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (30, 4)).astype(np.uint64), axis=1) for _ in range(4))]))
+    monkeypatch.setattr(simhash, "shared_blocks", lambda n, radius: shared)
+    got = {tuple(r) for r in components(simhash.links(spark.createDataFrame([(int(x),) for x in words_.view(np.int64)], "fp long"))).collect()}
+    near = np.argwhere(np.bitwise_count(words_[:, None] ^ words_[None, :]) <= 4)
+    edges = spark.createDataFrame([(int(words_.view(np.int64)[a]), int(words_.view(np.int64)[b])) for a, b in near if a < b], "a long, b long")
+    assert got == {tuple(r) for r in components(edges).collect()}
+
+
+def test_shared_blocks_grow():
+    assert [simhash.shared_blocks(n, 4) for n in (0, 10**6, 10**9, 4 * 10**10, 10**12, 10**15)] == [2, 2, 2, 3, 4, 5]
+
+
 def test_simhash_matches_brute_force(spark):
     rows = corpus() + [(200 + i, " ".join(["shared"] * 30 + [f"x{i}"])) for i in range(8)]
     rows = [r for r in rows if r[0] is not None]
@@ -102,6 +128,30 @@ def test_repeats_match_brute_force(spark, monkeypatch, hot):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_long_windows():
+    """Strings longer than the usual depth of ranks."""
+    rng = np.random.default_rng(3)
+    for length in (300, 400, 600):
+        for _ in range(6):
+            text = rng.integers(97, 99, 3000).astype(np.uint8)
+            for _ in range(4):
+                a, b = rng.integers(0, 2000, 2)
+                n = int(rng.integers(length - 2, 900))
+                text[b : b + n] = text[a : a + n]
+            at = np.arange(len(text) - length + 1)
+            raw = text.tobytes()
+            seen = Counter(raw[i : i + length] for i in at)
+            assert repeated_windows(text, at, np.zeros(len(at), np.int64), length).tolist() == [seen[raw[i : i + length]] > 1 for i in at]
+
+
+def test_repeats_take_any_ids(spark):
+    same = "the same passage of two hundred bytes or more, " * 6
+    rows = [("a", 1.5, same), ("b", None, same + "x"), (None, 2.5, "short")]
+    for kind in ("s", "d"):
+        got = repeats.remove_repeats(spark.createDataFrame(rows, "s string, d double, text string"), id_col=kind).collect()
+        assert sorted(r.n_removed > 0 for r in got) == [False, True, True] and len({r[kind] for r in got}) == 3
+
+
 def test_suffix_order_of_repetitive_texts():
     assert all(any((a - b) % PERIOD == d for a in COVER for b in COVER) for d in range(PERIOD))
     rng = np.random.default_rng(0)
@@ -140,6 +190,12 @@ def test_rules_match_brute_force(spark):
         lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
         want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered))
         assert (c.n_words[k], c.word_chars[k], c.n_symbols[k], c.n_dup_lines[k], c.n_repeat_words[k]) == want
+    # Thue-Morse texts collide under any polynomial hash modulo a power of two; bytes decide.
+    thue = lambda a, b, n: "".join(b if k.bit_count() % 2 else a for k in range(n))
+    pair = thue("a", "b", 2048), thue("b", "a", 2048)
+    eight = lambda w: " ".join([w] * 8)
+    c2 = rules.measure(*text_bytes(pa.array(["\n".join(pair), eight(pair[0]) + " x " + eight(pair[1]), "\n".join([pair[0], pair[0], pair[1]])])))
+    assert c2.n_dup_lines.tolist() == [0, 0, 1] and c2.n_repeat_words.tolist() == [0, 0, 0]
     good = [words(rng, 60, 50) for _ in range(60)]
     bad = [" ".join(x + "###" for x in words(rng, 60, 50).split()) for _ in range(60)]
     model = rules.fit(good[:40] + bad[:40], [1] * 40 + [0] * 40)
@@ -154,15 +210,46 @@ def test_resampling(spark):
     rows = [(i, words(rng, 60, 50)) for i in range(60)] + [(100 + i, " ".join(x + "###" for x in words(rng, 60, 50).split())) for i in range(30)] + [(None, None), (200, "")]
     labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(i, 0) for i in range(100, 110)] + [(None, 1), (3, None)], "doc_id long, quality int")
     scored = resample.resample(docs(spark, rows), labels).collect()
-    kept = {r.doc_id for r in scored if r.kept}
-    assert len(scored) == len(rows) and {i for i in range(60)} <= kept and not any(100 <= (i or 0) < 130 for i in kept)
+    good = sum(c in (1,) for c in [1] * 30 + [0] * 10) / 40
+    assert len(scored) == len(rows) and sum(r.kept for r in scored) == round(len(rows) * good)
+    least = min(r.score for r in scored if r.kept)
+    assert all(r.kept == (r.score >= least) for r in scored)
+    assert min(r.score for r in scored if (r.doc_id or 99) < 60) > max(r.score for r in scored if 100 <= (r.doc_id or 0) < 130)
+    part = resample.resample(docs(spark, rows), labels, share=0.5).collect()
+    assert sum(r.kept for r in part) == round(len(rows) * good / 2) and all((r.doc_id or 0) < 60 for r in part if r.kept)
     assert sum(r.kept for r in resample.resample(docs(spark, rows), labels, k=10).collect()) == 10
+    assert sum(r.kept for r in resample.resample(docs(spark, [(5, "x y z")] * 7), labels, k=1).collect()) == 7
     values = spark.createDataFrame([(float(x % 50),) for x in range(6000)], "s double")
     assert resample.kth_largest(values, "s", 121) == 48.0
     assert resample.resample(docs(spark, []), labels).count() == 0
     assert [r.kept for r in resample.resample(docs(spark, [(1, None), (2, "")]), labels).collect()] == [True, True]
 
 
+def test_gumbel_top_k_draws_by_weight(spark):
+    """Over many seeds the top two of four are drawn as without replacement, in proportion to their weights."""
+    from pyspark.sql import functions as F
+
+    weights = [0.5, 0.3, 0.15, 0.05]
+    rows = spark.createDataFrame([(s, i, float(np.log(w))) for s in range(4000) for i, w in enumerate(weights)], "seed long, i long, w double")
+    scores = rows.withColumn("score", F.col("w") + resample.gumbel(F.col("seed"), F.col("i"))).toPandas()
+    top = scores.sort_values("score", ascending=False).groupby("seed").head(2)
+    share = top.groupby("i").size() / 4000
+    for i, w in enumerate(weights):
+        want = w + sum(v * w / (1 - v) for j, v in enumerate(weights) if j != i)
+        assert abs(share[i] - want) < 0.03
+
+
+def test_log_ratio_matches_brute_force():
+    rng = np.random.default_rng(4)
+    target, raw = rng.integers(0, 50, 3 * resample.BUCKETS), rng.integers(0, 90, 3 * resample.BUCKETS)
+    got = resample.log_ratio(target, raw)
+    for at in (0, 7, resample.BUCKETS, 3 * resample.BUCKETS - 1):
+        k = at // resample.BUCKETS
+        part = slice(k * resample.BUCKETS, (k + 1) * resample.BUCKETS)
+        want = np.log((target[at] + resample.SMOOTH) / (raw[at] * (target[part].sum() / raw[part].sum()) + resample.SMOOTH))
+        assert abs(got[at] - want) < 1e-12
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
@@ -180,21 +267,71 @@ def test_decontamination(spark):
 
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|assistant|>"), (1, 2, "bob", "yo"), (1, 3, None, None), (1, 2, "bob", "yo"), (None, 0, "ann", "alone"), (2, 0, "system", "only"), (3, 5000, "ann", "late"), (3, None, "ann", "early")]
-    got = {(r.conv_id, r.episode, r.speaker): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 0, "ann"), (3, 0, "ann"), (3, 4, "ann")}
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, speaker string, part int")
+    got = {(r.conv_id, r.part, r.speaker): r for r in chat.perspectives(frame).collect()}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 0, "ann"), (3, 0, "ann")}
     bob = got[1, 0, "bob"]
     assert bob.rendered == "<|system|>\nbe kind\n<|user name=ann|>\nhi < |assistant|>\n<|assistant|>\nyo\n<|assistant|>\nyo\n<|user name=unknown|>\n\n"
     assert [bob.rendered[m.start : m.end] for m in bob.masks] == ["yo", "yo"]
     assert [got[1, 0, "ann"].rendered[m.start : m.end] for m in got[1, 0, "ann"].masks] == ["hi < |assistant|>"]
-
-
-def test_ring(spark):
-    rows = [(i, "t" * (i % 7)) for i in range(500)] + EDGE
-    found = ring.bounded_ring(docs(spark, rows), 8).collect()
+    assert got[3, 0, "ann"].rendered == "<|assistant|>\nearly\n<|assistant|>\nlate\n"
+    parts = {(r.conv_id, r.part, r.speaker): r for r in chat.perspectives(frame, part=2).collect()}
+    assert set(parts) == {(1, p, x) for p in range(3) for x in ("ann", "bob", "unknown")} | {(None, 0, "ann"), (3, 0, "ann")}
+    for who in ("ann", "bob", "unknown"):
+        assert "".join(parts[1, p, who].rendered for p in range(3)) == got[1, 0, who].rendered
+        assert sum((list(parts[1, p, who].masks) != []) * sum(m.end - m.start for m in parts[1, p, who].masks) for p in range(3)) == sum(m.end - m.start for m in got[1, 0, who].masks)
+    assert chat.perspectives(frame.limit(0)).count() == 0
+
+
+def brute_ring(rows, shards, slack=0.0):
+    """Row by row: each walks clockwise from its place; homes first, the rest in ring order from where they overflow."""
+    import zlib
+
+    spark_hash = {k: h for k, h in rows["hash"].items()}
+    order = sorted((spark_hash[i, t] % (1 << 64), i is not None, i or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 16, n) for n, (i, t) in enumerate(rows["rows"]))
+    nodes = ring.ring_nodes(shards)
+    room = ring.capacities(len(order), shards, slack)
+    cells = [c for c, _ in nodes]
+    home = lambda h: next((k for k, c in enumerate(cells) if c >= h >> (64 - ring.CELL_BITS)), 0)
+    out, late = {}, {}
+    for row in order:
+        at = home(row[0])
+        if room[nodes[at][1]]:
+            room[nodes[at][1]] -= 1
+            out[row[-1]] = nodes[at][1]
+        else:
+            late.setdefault(at, []).append(row)
+    queue = []
+    while late or queue:
+        for at, (_, shard) in enumerate(nodes):
+            queue += late.pop(at, [])
+            while queue and room[shard]:
+                room[shard] -= 1
+                out[queue.pop(0)[-1]] = shard
+    return Counter((*rows["rows"][n], s) for n, s in out.items())
+
+
+def test_ring(spark, monkeypatch):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ring, "CHUNK", 7)
+    rows = [(i, "t" * (i % 7)) for i in range(500)] + EDGE + [(77, "same")] * 40 + [(None, None)] * 30
+    given = docs(spark, rows)
+    found = ring.bounded_ring(given, 8).collect()
     count = Counter(r.shard for r in found)
     assert len(found) == len(rows) and max(count.values()) - min(count.values()) <= 1
     for s in count:
         assert sorted(r.slot for r in found if r.shard == s) == list(range(count[s]))
+    digest = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((i, *digest(t)) for i, t in rows)
+    body = F.coalesce("text", F.lit(""))
+    hashes = {(r.doc_id, r.text): r.h for r in given.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), body))).alias("h")).collect()}
+    want = brute_ring({"rows": rows, "hash": hashes}, 8)
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in found) == Counter({(i, *digest(t), s): n for (i, t, s), n in want.items()})
+    again = ring.bounded_ring(given.repartition(3), 8).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, found))
     assert ring.bounded_ring(docs(spark, []), 8).count() == 0
     home = lambda n: {r.doc_id: r.shard for r in ring.bounded_ring(docs(spark, rows[:500]), n, slack=0.25).collect()}
     old, new = home(20), home(21)
