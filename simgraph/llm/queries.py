@@ -78,7 +78,7 @@ def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of every document under a network trained on all of them."""
+    """doc_id, n_tokens, log_prob, mean_log_prob and net_log_prob of every document under a model of all of them."""
     docs = _table(spark, sf_dir, "documents")
     return mlm.score(docs, mlm.train(docs))
 

@@ -1,34 +1,5 @@
-"""Reliable checkpoints in the folder that the cluster names."""
+"""Reliable checkpoints in the folder that the cluster names: the library's own, for all operators here."""
 
-from __future__ import annotations
+from simgraph.runtime import checkpoint_path, cut, prepare
 
-import os
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def prepare(spark: SparkSession) -> None:
-    """Set the checkpoint folder (``spark.checkpoint.dir``; a temporary one only
-    where that is unset, as in tests) and let local Python workers find the package."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")  # else Spark 4.1 may drop a repartition after a union that isn't dealt by its key
-    path = sc.environment.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
-
-
-def checkpoint_path(spark: SparkSession) -> str:
-    """The shared folder of this application's checkpoints."""
-    prepare(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: the data survive lost executors."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_path", "cut", "prepare"]
