@@ -32,7 +32,7 @@ def runs(spark):
         "decontaminate": lambda d: decontam.judge(d, items),
         "repeats": lambda d: repeats.remove_repeats(d),
         "resample": lambda d: resample.resample(d, labels),
-        "rules": lambda d: rules.judge(d, rules.fit([r[1] for r in (s := rules.labelled_sample(d, labels, "quality", 10))], [r[2] for r in s])),
+        "rules": lambda d: rules.judge(d, rules.fit(*([r[k] for r in rules.labelled_sample(d, labels, "quality", 10)] for k in (1, 2)))),
         "ring": lambda d: ring.bounded_ring(d, 4),
         "encode": lambda d: bpe.decode(bpe.encode(d, PATH, public_tokenizers.PATTERN), PATH),
         "simhash": lambda d: simhash.near_groups(d),
