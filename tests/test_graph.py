@@ -171,6 +171,21 @@ def test_degree_ratio_takes_partners_on_both_sides(spark):
     assert any(u > v for u, v in got) and all(u % 20 == 0 for u, _ in got)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_later_blocks_do_not_span_links_of_earlier_ones(spark):
+    assert rows(catalog.QUERIES["index_is_disjoint"](spark, SF)) == {(0,)}
+
+
+def test_biclusters_leave_out_held_links(spark):
+    """Right vertex 10 has a link into cluster 0 that another block holds: it goes to cluster 5, or to none."""
+    clusters = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (5, 5), (5, 6), (5, 7)], "cid long, l long")
+    bi = spark.createDataFrame([(a, r, 3, 0.5) for a in (1, 2, 5, 6) for r in (10, 11, 12, 13, 14)], "l long, r long, common long, score double")
+    held = spark.createDataFrame([(0, 10), (0, 11), (5, 11)], "l long, r long")
+    s = index.Settings(least_cluster=1, least_gain=-9)
+    assert rows(index.biclusters(bi, clusters, s)) == {(0, r) for r in (10, 11, 12, 13, 14)}
+    assert rows(index.biclusters(bi, clusters, s, held)) == {(5, 10), (0, 12), (0, 13), (0, 14)}
+
+
 @pytest.mark.parametrize("chunk", [1024, 2])
 def test_lsh_recall_and_clusters_match_brute_force(spark, monkeypatch, chunk):
     """Every pair that shares a band is found (through its signatures), and centres are chosen as one by one."""
