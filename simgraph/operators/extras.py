@@ -7,14 +7,15 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgraph.functions.similarity import LEAST_COMMON, adjacency
+from simgraph.functions.similarity import LEAST_COMMON, adjacency, degrees
+from simgraph.operators.cliques import per_group
 from simgraph.operators.reduce import densest_by_peeling, k_core
+from simgraph.runtime import cut, prepare
 
-#: Edges of the reduced core that the exact methods take to the driver at most.
+#: Edges of the reduced core that the exact densest subgraph takes to the driver at most.
 LOCAL_EDGES = 2_000_000
 
 
@@ -118,40 +119,35 @@ def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
 def k_plex(edges: DataFrame, k: int, seeds: int = 32) -> tuple[int, str]:
     """(size, members) of a vertex set in which each misses at most k - 1 others: the best of greedy starts from the ``seeds`` vertices of largest degree.
 
-    A heuristic with fixed starts; starts are rows, so they run in parallel on a broadcast core.
+    A heuristic with fixed starts. A start's set stays within two steps of it:
+    the edges among those vertices are a group of their own, so starts run in
+    parallel and no task holds more than the surroundings of one.
     """
-    core = edges.select("u", "v")
-    if core.where("u < v").limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        raise ValueError("the graph is too large to broadcast; reduce it to a core first")
-    near: dict[int, set[int]] = {}
-    for r in core.toLocalIterator():
-        near.setdefault(r.u, set()).add(r.v)
-    if not near:
+    prepare(edges.sparkSession)
+    starts = cut(degrees(edges).orderBy(F.desc("deg"), "u").limit(seeds).select(F.col("u").alias("root")))
+    if starts.isEmpty():
         return 0, ""
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(near)
-    starts = sorted(near, key=lambda v: (-len(near[v]), v))[:seeds]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = shared.value
-        for b in batches:
-            out = []
-            for start in b.column(0).to_pylist():
-                chosen = {start}
-                cand = set().union(near[start], *(near[x] for x in near[start])) - chosen
-                while True:
-                    tight = [x for x in chosen if len(chosen) - len(near[x] & chosen) >= k]
-                    cand = {c for c in cand if len(chosen - near[c]) < k and all(x in near[c] for x in tight)}
-                    if not cand:
-                        break
-                    pick = max(cand, key=lambda c: (len(near[c] & chosen), len(near[c] & cand), -c))
-                    chosen.add(pick)
-                    cand.discard(pick)
-                out.append((len(chosen), ",".join(map(str, sorted(chosen)))))
-            if out:
-                n, m = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(m)], names=["size", "members"])
-
-    found = spark.createDataFrame([(s,) for s in starts], "v long").mapInArrow(run, "size long, members string")
-    best = found.orderBy(F.desc("size"), "members").first()
+    beside = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    one = starts.join(beside.withColumnRenamed("a", "root"), "root").withColumnRenamed("b", "a")
+    two = one.join(beside, "a").select("root", F.col("b").alias("a"))
+    ball = cut(starts.select("root", F.col("root").alias("a")).unionByName(one.select("root", "a")).unionByName(two).distinct())
+    inside = ball.join(beside, "a").join(ball.withColumnRenamed("a", "b"), ["root", "b"]).select("root", "a", "b")
+
+    def find(root: int, a: list[int], b: list[int]) -> Iterator[tuple]:
+        near: dict[int, set[int]] = {}
+        for x, y in zip(a, b, strict=True):
+            near.setdefault(x, set()).add(y)
+        chosen = {root}
+        cand = near.keys() - chosen
+        while True:
+            tight = [x for x in chosen if len(chosen) - len(near[x] & chosen) >= k]
+            cand = {c for c in cand if len(chosen - near[c]) < k and all(x in near[c] for x in tight)}
+            if not cand:
+                break
+            pick = max(cand, key=lambda c: (len(near[c] & chosen), len(near[c] & cand), -c))
+            chosen.add(pick)
+            cand.discard(pick)
+        yield len(chosen), ",".join(map(str, sorted(chosen)))
+
+    best = per_group(inside, find, "size long, members string").orderBy(F.desc("size"), "members").first()
     return best.size, best.members

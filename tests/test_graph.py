@@ -140,6 +140,29 @@ def test_binary_is_written_without_collecting_the_graph(spark, tmp_path, monkeyp
     assert {(v, d) for v, d in rows(vertices) if d} == rows(want.groupBy("u").count()) and vertices.count() == 12
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_k_plex_sees_the_surroundings_of_its_starts(spark, monkeypatch, k):
+    """As greedy starts on the whole graph, without a limit on its edges."""
+    monkeypatch.setattr(extras, "LOCAL_EDGES", 5)
+    rng = random.Random(k)
+    pairs = [(a, b) for a, b in combinations(range(40), 2) if rng.random() < 0.12]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    found = []
+    for start in sorted(near, key=lambda v: (-len(near[v]), v))[:6]:
+        chosen = {start}
+        while True:
+            fits = [c for c in set().union(near[start], *(near[x] for x in near[start])) - chosen if all(len(chosen | {c}) - len(near[x] & (chosen | {c})) <= k for x in chosen | {c})]
+            if not fits:
+                break
+            chosen.add(max(fits, key=lambda c: (len(near[c] & chosen), len(near[c] & set(fits)), -c)))
+        found.append((-len(chosen), ",".join(map(str, sorted(chosen)))))
+    size, members = min(found)
+    assert extras.k_plex(frame(spark, pairs), k, 6) == (-size, members)
+
+
 def test_stream_of_edges(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([(0, 1), (1, 2)], "u long, v long").write.mode("append").parquet(source)
