@@ -1,40 +1,5 @@
-"""Connected components of a distributed edge list."""
+"""Connected components: the library's own, for all operators here."""
 
-from __future__ import annotations
+from simgraph.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from simgraph.llm.state import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the least node around it."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the least of them (every a > b)."""
-    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
-    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Rows (a, b) -> (node, root): root is the least node that a chain of edges reaches.
-
-    Alternates large-star and small-star steps, so the rounds grow with the
-    logarithm of the longest chain; hot nodes are summed before the shuffle and
-    joined by splittable joins. Loops and nulls are dropped, repeated edges are
-    one. Nodes without an edge aren't in the result.
-    """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen, edges = mark, cut(_small_star(cut(_large_star(edges))))
-    raise RuntimeError("components did not settle")
+__all__ = ["components"]

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from simgraph.functions.similarity import LEAST_COMMON, adjacency, degrees
 from simgraph.operators.cliques import per_group
+from simgraph.operators.components import components
 from simgraph.operators.reduce import densest_by_peeling, k_core
 from simgraph.runtime import cut, prepare
 
-#: Edges of the reduced core that the exact densest subgraph takes to the driver at most.
+#: Edges of a component of the reduced core that a task of the exact densest subgraph takes at most.
 LOCAL_EDGES = 2_000_000
 
 
@@ -80,31 +81,26 @@ class _Flow:
         return level
 
 
-def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
-    """(edges per vertex, members) of a densest subgraph, exact.
+def _denser(pairs: list[tuple[int, int]], floor: Fraction) -> tuple[Fraction, list[int]] | None:
+    """(edges per vertex, members) of a densest subgraph of the pairs; None if none is above ``floor`` and all vertices aren't.
 
-    Spark finds a dense subgraph by peeling; the answer lies in the core of at
-    least its density, and minimum cuts on that core lift the density until no
-    cut does. A core of more than LOCAL_EDGES edges is refused.
+    Minimum cuts lift the density until no cut does.
     """
-    low, _ = densest_by_peeling(edges)
-    core = k_core(edges, max(1, int(np.ceil(low)))).where("u < v")
-    if core.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
-        raise ValueError("the core is too large for an exact cut; use densest_by_peeling")
-    pairs = [(r.u, r.v) for r in core.toLocalIterator()]
     ids = sorted({x for p in pairs for x in p})
-    if not ids:
-        return Fraction(0), []
     place = {v: i for i, v in enumerate(ids)}
-    best, members = Fraction(len(pairs), len(ids)), ids
+    found = (Fraction(len(pairs), len(ids)), ids)
+    best = max(found[0], floor)
+    if found[0] < floor:
+        found = None
+    degree = [0] * len(ids)
+    for a, b in pairs:
+        degree[place[a]] += 1
+        degree[place[b]] += 1
     while True:
         n, num, den = len(ids), best.numerator, best.denominator
         flow = _Flow(n + 2)
-        degree = [0] * n
         for a, b in pairs:
             flow.link(place[a], place[b], den, den)
-            degree[place[a]] += 1
-            degree[place[b]] += 1
         for i in range(n):
             flow.link(n, i, degree[i] * den)
             flow.link(i, n + 1, 2 * num)
@@ -112,8 +108,37 @@ def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
         side = {ids[i] for i in range(n) if level[i] >= 0}
         inside = sum(a in side and b in side for a, b in pairs)
         if not side or Fraction(inside, len(side)) <= best:
-            return best, members
-        best, members = Fraction(inside, len(side)), sorted(side)
+            return found
+        best = Fraction(inside, len(side))
+        found = (best, sorted(side))
+
+
+def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
+    """(edges per vertex, members) of a densest subgraph, exact.
+
+    Spark finds a dense subgraph by peeling; the answer lies in the core of at
+    least its density, in one connected component of it. Each component is a
+    group of its own, whose minimum cuts begin at that density, so the graph may
+    be of any size; a component of more than LOCAL_EDGES edges is refused.
+    """
+    low, _ = densest_by_peeling(edges)
+    core = k_core(edges, max(1, int(np.ceil(low)))).where("u < v")
+    if core.isEmpty():
+        return Fraction(0), []
+    roots = components(core.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    rows = cut(core.join(roots.withColumnRenamed("node", "u"), "u").select("root", "u", "v"))
+    if rows.groupBy("root").count().agg(F.max("count")).first()[0] > LOCAL_EDGES:
+        raise ValueError("a component of the core is too large for an exact cut; use densest_by_peeling")
+    floor = Fraction(low * (1 - 1e-9))  # a little below what peeling found, which a float rounds
+
+    def find(root: int, u: list[int], v: list[int]) -> Iterator[tuple]:
+        if (found := _denser(list(zip(u, v, strict=True)), floor)) is not None:
+            density, members = found
+            yield int(density * len(members)), len(members), ",".join(map(str, members))
+
+    found = per_group(rows, find, "edges long, n long, members string")
+    best = found.orderBy(F.desc(F.col("edges") / F.col("n")), F.split("members", ",")[0].cast("long")).first()
+    return Fraction(best.edges, best.n), [int(x) for x in best.members.split(",")]
 
 
 def k_plex(edges: DataFrame, k: int, seeds: int = 32) -> tuple[int, str]:

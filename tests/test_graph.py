@@ -140,6 +140,19 @@ def test_binary_is_written_without_collecting_the_graph(spark, tmp_path, monkeyp
     assert {(v, d) for v, d in rows(vertices) if d} == rows(want.groupBy("u").count()) and vertices.count() == 12
 
 
+def test_densest_goes_by_component(spark, monkeypatch):
+    """Two components of 10 edges at most, 18 in all; the second is denser."""
+    monkeypatch.setattr(extras, "LOCAL_EDGES", 12)
+    ring = [(a, (a + 1) % 5) for a in range(5)] + [(0, 2), (1, 3), (2, 4)]
+    five = [(a + 10, b + 10) for a, b in combinations(range(5), 2)]
+    density, members = extras.densest_exact(frame(spark, ring + five + [(14, 15)]))
+    assert density == 2 and members == [10, 11, 12, 13, 14]
+    assert extras.densest_exact(frame(spark, [])) == (0, [])
+    monkeypatch.setattr(extras, "LOCAL_EDGES", 9)
+    with pytest.raises(ValueError):
+        extras.densest_exact(frame(spark, five))
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_k_plex_sees_the_surroundings_of_its_starts(spark, monkeypatch, k):
     """As greedy starts on the whole graph, without a limit on its edges."""
