@@ -72,8 +72,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of each text (little-endian unsigned 32-bit), their number, and whether they decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select("doc_id", "text", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"))
-    ids = bpe.encode(rows, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "sha"))
-    back = bpe.decode(ids, path, keep=("doc_id", "lang", "source", "sha"))
+    back = bpe.encode(rows, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "sha"), decoded="decoded")
     return back.select("doc_id", "lang", "source", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 

@@ -194,9 +194,12 @@ def _memo(path: str) -> Memo:
     return _MEMOS[path]
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), decoded: str | None = None) -> DataFrame:
     """``keep`` and ``ids``: the ids of each row's whole text as little-endian unsigned 32-bit integers (binary).
 
+    ``decoded``: a column of the bytes that ``decode`` makes of the ids, in the
+    same pass, so that a task needs one Python worker instead of two.
+
     Each match of ``pattern`` is encoded by itself; text between matches gives
     nothing. Null and empty texts: no ids. No special tokens. The rank file
     must be at ``path`` on every executor.
@@ -204,17 +207,23 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     prepare(df.sparkSession)
     rows = df.select(*keep, F.col(text).alias("_text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    made = [decoded] if decoded else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, memo = regex.compile(pattern).findall, _memo(path)
+        pieces, memo, token = regex.compile(pattern).findall, _memo(path), _ranks(path).token
         for part in steps(batches, "_text"):
             split = [pieces(x) if x else [] for x in part.column("_text").to_pylist()]
             memo.learn(set().union(*split))
             got = [b"".join(map(memo.__getitem__, x)) for x in split]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], names=[*keep, ids])
+            back = [pa.array([_bytes(token, x) for x in got], pa.binary())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary()), *back], names=[*keep, ids, *made])
         memo.clear()  # workers outlive tasks; what they hold between them shouldn't
 
-    return rows.mapInArrow(run, f"{schema}`{ids}` binary")
+    return rows.mapInArrow(run, ", ".join([f"{schema}`{ids}` binary", *(f"`{x}` binary" for x in made)]))
+
+
+def _bytes(token: dict[int, bytes], ids: bytes | None) -> bytes:
+    return b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -224,9 +233,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kee
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _ranks(path).token.__getitem__
+        token = _ranks(path).token
         for part in steps(batches, "_ids"):
-            got = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.column("_ids").to_pylist()]
+            got = [_bytes(token, x) for x in part.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=[*keep, ids, out])
 
     return rows.mapInArrow(run, f"{schema}`{ids}` binary, `{out}` binary")

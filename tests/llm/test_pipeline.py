@@ -36,6 +36,14 @@ def test_stages(spark, tmp_path):
         docs, before = after, n
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_encoded_takes_one_python_pass(spark):
+    """Two passes need two workers for each task, and those of an executor stay."""
+    done = corpus_pipeline.encoded(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    assert done._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert done.count() and done.where("not round_trip").isEmpty()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_run_takes_no_rows(spark, tmp_path):
     for table in ("documents", "labels", "benchmark"):
