@@ -217,6 +217,20 @@ def test_degree_ratio_takes_partners_on_both_sides(spark):
     assert any(u > v for u, v in got) and all(u % 20 == 0 for u, _ in got)
 
 
+@pytest.mark.parametrize("name", ["degree_ratio_candidates"])
+def test_degree_ratio_rows_come_in_runs(spark, monkeypatch, name):
+    """Blocks of 8 queries and 64 partners: runs of rows share their v, which keeps files small, and no row is lost."""
+    ring = frame(spark, [(2 * c, 2 * ((c + k) % 200) + 1) for c in range(200) for k in range(3)])
+    monkeypatch.setattr(catalog, "_sc", lambda spark, sf_dir: ring)
+    monkeypatch.setattr(catalog, "_BLOCK", 8, raising=False)
+    monkeypatch.setattr(catalog, "_CHUNK", 64, raising=False)
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, "").collect()]
+    both = name.endswith("partners")
+    want = {(u, v) for u in range(0, 400, 20) for v in range(400) if u < v or both and u > v and v % 20}
+    assert set(got) == want and len(got) == len(want)
+    assert sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False)) < len(got) / 3
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_later_blocks_do_not_span_links_of_earlier_ones(spark):
     assert rows(catalog.QUERIES["index_is_disjoint"](spark, SF)) == {(0,)}
