@@ -217,7 +217,7 @@ def test_degree_ratio_takes_partners_on_both_sides(spark):
     assert any(u > v for u, v in got) and all(u % 20 == 0 for u, _ in got)
 
 
-@pytest.mark.parametrize("name", ["degree_ratio_candidates"])
+@pytest.mark.parametrize("name", ["degree_ratio_candidates", "degree_ratio_partners"])
 def test_degree_ratio_rows_come_in_runs(spark, monkeypatch, name):
     """Blocks of 8 queries and 64 partners: runs of rows share their v, which keeps files small, and no row is lost."""
     ring = frame(spark, [(2 * c, 2 * ((c + k) % 200) + 1) for c in range(200) for k in range(3)])
