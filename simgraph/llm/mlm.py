@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -30,6 +31,8 @@ ROUNDS = 4
 SHARD = 1 << 22
 #: Bytes of text whose contexts are counted together before they are sent; distinct contexts of a range; bits of the word in a key.
 CHUNK_BYTES, RANGE, WORD_BITS = 1 << 22, 1 << 21, 12
+#: Bytes of text that are hashed at once.
+HASH_BYTES = 1 << 15
 #: Tokens' worth of belief in the network against the contexts' counts, and steps of a nat in which its verdicts travel.
 TRUST, NATS = 2.0, 8
 _SHAPES = {"left": (VOCAB, DIM), "right": (VOCAB, DIM), "high": (DIM, SIDE), "high_bias": (SIDE,), "of_high": (SIDE, DIM), "low": (DIM, SIDE), "low_bias": (SIDE, SIDE)}
@@ -76,11 +79,25 @@ class Model:
 
 
 def _hashed(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, ending (a number below VOCAB - HEADS) and text of every word."""
+    """Hash, ending (a number below VOCAB - HEADS) and text of every word. Words are hashed in blocks of HASH_BYTES, whose sums stay in the cache."""
     starts, ends, count = words(data, off)
-    sums = prefix(data)
-    tail = between(sums, np.maximum(starts, ends - 3), ends) >> np.uint64(64 - (VOCAB - HEADS).bit_length() + 1)
-    return between(sums, starts, ends), tail.astype(np.int64), np.repeat(np.arange(len(count)), count)
+    word, tail = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    for a, b in pairwise([*np.searchsorted(starts, np.arange(0, len(data), HASH_BYTES)).tolist(), len(starts)]):
+        if a < b:
+            low = starts[a]
+            sums = prefix(data[low : ends[b - 1]])
+            x, y = starts[a:b] - low, ends[a:b] - low
+            word[a:b], tail[a:b] = between(sums, x, y), between(sums, np.maximum(x, y - 3), y)
+    tail >>= np.uint64(64 - (VOCAB - HEADS).bit_length() + 1)
+    return word, tail.astype(np.int64), np.repeat(np.arange(len(count)), count)
+
+
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts ``x`` (equal values in any order), the places in it where a new value begins, and how often each stands there."""
+    order = np.argsort(x)
+    sorted_ = x[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return order, first, np.diff(np.append(first, len(x)))
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Model:
@@ -97,10 +114,9 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Model:
 
         def merged() -> np.ndarray:
             rows = np.concatenate(held)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-            out = rows[first]
-            out[:, 2] = np.add.reduceat(rows[:, 2], first)
+            order, first, _ = _groups(np.ascontiguousarray(rows[:, 0]))
+            out = rows[order[first]]
+            out[:, 2] = np.add.reduceat(rows[order, 2], first)
             return out
 
         def batch(rows: np.ndarray) -> pa.RecordBatch:
@@ -109,8 +125,9 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Model:
         for part in steps(batches, "_text"):
             word, tail, _ = _hashed(*text_bytes(part.column("_text")))
             if len(word):
-                own, at, n = np.unique(word, return_index=True, return_counts=True)
-                held.append(np.stack([own.view(np.int64), tail[at], n], 1))
+                order, first, n = _groups(word)
+                at = order[first]
+                held.append(np.stack([word[at].view(np.int64), tail[at], n], 1))
             if sum(map(len, held)) > 1 << 20:
                 held = [merged()]
                 if len(held[0]) > 1 << 19:
@@ -160,73 +177,84 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Model:
     )
 
 
-def _softmax(x: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities (in the place of ``x``), and the logarithm of each row's target."""
-    x -= x.max(axis=1, keepdims=True)
-    chosen = x[at, target]
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each column (in the place of ``x``), and the logarithm of its target's."""
+    x -= x.max(axis=0)
+    chosen = x.ravel().take(target)
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
+    total = x.sum(axis=0)
     x /= total
-    return x, chosen - np.log(total[:, 0])
+    return x, chosen - np.log(total)
 
 
 class Pass:
-    """The network at the places ``at`` of a stretch of tokens: each is predicted from REACH words on either side, never from itself."""
+    """The network at the places ``at`` of a stretch of tokens: each is predicted from REACH words on either side, never from itself.
+
+    Scores of digits stand in columns, one for each place, so that sums over
+    them run along memory. ``given`` has the hidden units and the indicators of
+    the high digit: one product gives the low digit's scores.
+    """
 
     def __init__(self, net: Net, ids: np.ndarray, owner: np.ndarray, at: np.ndarray):
         self.net = net
-        self.total = np.zeros((len(at), DIM), net["left"].dtype)
-        self.seen: list[tuple[str, np.ndarray, np.ndarray]] = []
+        kind, n = net["left"].dtype, len(at)
+        # texts with REACH blanks before, between and after them; a blank's vector is zero
+        turn = np.zeros(len(ids), np.int64)
+        np.cumsum(owner[1:] != owner[:-1], out=turn[1:])
+        place = np.arange(REACH, len(ids) + REACH) + REACH * turn
+        spread = np.full(len(ids) + REACH * (int(turn[-1]) + 2), VOCAB, np.uint16)
+        spread[place] = ids
+        here = place[at]
+        tables = {side: np.concatenate([net[side], np.zeros((1, DIM), kind)]) for side in ("left", "right")}
+        self.near: dict[str, list[np.ndarray]] = {"left": [], "right": []}
+        total = np.zeros((n, DIM), kind)
         for k in range(1, REACH + 1):
-            for side, there in (("left", at - k), ("right", at + k)):
-                ok = np.flatnonzero((there >= 0) & (there < len(ids)))
-                ok = ok[owner[there[ok]] == owner[at[ok]]]
-                near = ids[there[ok]]
-                if len(ok) == len(at):
-                    self.total += net[side][near]
-                else:
-                    self.total[ok] += net[side][near]
-                self.seen.append((side, ok, near))
-        self.hidden = np.tanh(self.total)
-        self.high_of, self.low_of = ids[at] // SIDE, ids[at] % SIDE
-        self.mid = self.hidden + net["of_high"][self.high_of]
-        rows = np.arange(len(at))
-        self.high, high = _softmax(self.hidden @ net["high"] + net["high_bias"], rows, self.high_of)
-        self.low, low = _softmax(self.mid @ net["low"] + net["low_bias"][self.high_of], rows, self.low_of)
+            for side, there in (("left", here - k), ("right", here + k)):
+                self.near[side].append(spread.take(there))
+                total += tables[side].take(self.near[side][-1], axis=0)
+        high_of, low_of = np.divmod(ids[at], SIDE)
+        self.given = np.empty((DIM + SIDE, n), kind)
+        self.hidden = np.tanh(total.T, out=self.given[:DIM])
+        self.given[DIM:] = np.arange(SIDE, dtype=np.uint8)[:, None] == high_of.astype(np.uint8)
+        rows = np.arange(n)
+        self.high_at, self.low_at = high_of * n + rows, low_of * n + rows
+        self.high, high = _softmax(net["high"].T @ self.hidden + net["high_bias"][:, None], self.high_at)
+        bias = net["of_high"] @ net["low"] + net["low_bias"]
+        self.low, low = _softmax(np.concatenate([net["low"], bias]).T @ self.given, self.low_at)
         self.log_prob = high + low
 
     def gradients(self) -> dict[str, tuple[np.ndarray | None, np.ndarray]]:
         """Of the mean loss: (rows or None for all, values) of each group of weights. Use once."""
-        net, n = self.net, len(self.hidden)
-        rows = np.arange(n)
+        net, n = self.net, self.hidden.shape[1]
         d_high, d_low = self.high, self.low
-        d_high[rows, self.high_of] -= 1
-        d_low[rows, self.low_of] -= 1
+        d_high -= self.given[DIM:]
+        d_low.ravel()[self.low_at] -= 1
         d_high /= n
         d_low /= n
-        d_mid = d_low @ net["low"].T
-        d_total = (d_high @ net["high"].T + d_mid) * (1 - self.hidden**2)
-        out: dict[str, tuple[np.ndarray | None, np.ndarray]] = {"high": (None, self.hidden.T @ d_high), "high_bias": (None, d_high.sum(axis=0)), "low": (None, self.mid.T @ d_low)}
-        out["of_high"] = _summed(self.high_of, d_mid)
-        out["low_bias"] = _summed(self.high_of, d_low)
-        for side in ("left", "right"):
-            ok = np.concatenate([o for s, o, _ in self.seen if s == side])
-            out[side] = _summed(np.concatenate([i for s, _, i in self.seen if s == side]), d_total, ok)
+        both = self.given @ d_low.T
+        low, low_bias = both[:DIM], both[DIM:]
+        d_total = (d_high.T @ net["high"].T + d_low.T @ net["low"].T) * (1 - self.hidden**2).T
+        out: dict[str, tuple[np.ndarray | None, np.ndarray]] = {"high": (None, self.hidden @ d_high.T), "high_bias": (None, d_high.sum(axis=1)), "low": (None, low + net["of_high"].T @ low_bias)}
+        out["of_high"], out["low_bias"] = (None, low_bias @ net["low"].T), (None, low_bias)
+        rows = np.tile(np.arange(n), REACH)
+        for side, near in self.near.items():
+            out[side] = _summed(np.concatenate(near), d_total, rows)
         return out
 
 
-def _summed(keys: np.ndarray, values: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of their values (of ``values[rows]``)."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")
+def _summed(keys: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below VOCAB, and the sums of their ``values[rows]``."""
+    order = np.argsort(keys, kind="stable")
     sorted_ = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if not len(first):
-        return first, values[:0]
-    return sorted_[first], np.add.reduceat(values[order if rows is None else rows[order]], first, axis=0)
+    sorted_ = sorted_[: np.searchsorted(sorted_, VOCAB)]
+    if not len(sorted_):
+        return np.zeros(0, np.int64), values[:0]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return sorted_[first].astype(np.int64), np.add.reduceat(values.take(rows[order[: len(sorted_)]], axis=0), first, axis=0)
 
 
 class Trainer:
-    """AdaGrad over the stretches that it is given."""
+    """AdaGrad over the stretches that it is given; their places come in rising order."""
 
     def __init__(self, flat: np.ndarray, seen: np.ndarray):
         self.flat, self.seen = flat.copy(), seen.copy()
@@ -234,19 +262,26 @@ class Trainer:
 
     def feed(self, ids: np.ndarray, owner: np.ndarray, at: np.ndarray) -> None:
         for k in range(0, len(at), BATCH):
-            for name, (rows, g) in Pass(self.net, ids, owner, at[k : k + BATCH]).gradients().items():
+            own = at[k : k + BATCH]
+            low, top = max(0, int(own[0]) - REACH), int(own[-1]) + REACH + 1
+            for name, (rows, g) in Pass(self.net, ids[low:top], owner[low:top], own - low).gradients().items():
                 where = slice(None) if rows is None else rows
                 self.sums[name][where] += g * g
                 self.net[name][where] -= RATE * g / np.sqrt(self.sums[name][where])
 
 
+@cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Numbers by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _unpack(raw: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -291,6 +326,7 @@ def _round(corpus: DataFrame, state: np.ndarray, turn: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, count = np.zeros(state.shape), 0
         own, mine, todo, held = None, 0, [], 0
+        np.empty(1 << 24, np.uint8)  # once a block of this size was freed, glibc keeps the memory of a step for the next one instead of returning it
 
         def flush() -> None:
             nonlocal todo, held, mine
@@ -331,13 +367,17 @@ def _round(corpus: DataFrame, state: np.ndarray, turn: int) -> np.ndarray:
 def net_log_probs(net: Net, model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log P(word | words on both sides) by the network alone, hash and text of every word."""
     word, tail, owner = _hashed(data, off)
-    ids = model.classes(word, tail)
+    order, first, count = _groups(word)
+    own = word[order[first]]
+    cls = model.classes(own, tail[order[first]])
+    ids, inside = np.empty(len(word), np.int64), np.empty(len(word), np.float32)
+    ids[order], inside[order] = np.repeat(cls, count), np.repeat(model.in_class(own, cls), count)
     each = np.zeros(len(ids))
     for a in range(0, len(ids), BATCH):
         b = min(len(ids), a + BATCH)
         low, top = max(0, a - REACH), min(len(ids), b + REACH)
         each[a:b] = Pass(net, ids[low:top], owner[low:top], np.arange(a - low, b - low)).log_prob
-    return each + model.in_class(word, ids), word, owner
+    return each + inside, word, owner
 
 
 def contexts(word: np.ndarray, owner: np.ndarray, bits: int) -> np.ndarray:
@@ -389,17 +429,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
             names = pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type))
             each, word, owner = net_log_probs(net, shared.value, *text_bytes(part.column("_text")))
             key = contexts(word, owner, bits)
-            order = np.argsort(key, kind="stable")
-            sorted_ = key[order]
-            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, len(key))).astype(np.uint32)
+            order, first, count = _groups(key)
+            count = count.astype(np.uint32)
             chunk = TaskContext.get().partitionId() << 32 | nth
             nth += 1
             nets = np.bincount(owner, each, minlength=part.num_rows).astype(np.float64)
             own = [np.minimum(np.round(-NATS * each[order]), 255).astype(np.uint8), owner[order].astype(np.uint32), count]
             texts = np.stack([np.bincount(owner, minlength=part.num_rows).astype(np.float64), nets]).tobytes()
             yield line(-1 - chunk, chunk, -1, [texts, *(map(_pack, own) if len(key) else [])], names)
-            distinct = sorted_[first]
+            distinct = key[order[first]]
             ranges = (distinct >> np.uint64(bits - top)).astype(np.int64)
             turns = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else np.zeros(0, np.int64)
             none = pa.array([None], names.type)
@@ -413,7 +451,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, count = np.concatenate([k for _, k, _ in held]), np.concatenate([c for _, _, c in held]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             back = [np.empty(len(keys), np.uint32) for _ in range(2)]
             for out, x in zip(back, (keys[order], keys[order] >> np.uint64(WORD_BITS)), strict=True):
                 first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))

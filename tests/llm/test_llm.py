@@ -437,6 +437,43 @@ def test_repeated_documents_score_apart(spark):
     assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 120)) + 1
 
 
+def test_network_takes_each_word_of_a_chunk_once(monkeypatch):
+    """Classes and shares are looked up for distinct words; blocks of hashed bytes and of places don't change what a word gets."""
+    rng = random.Random(6)
+    texts = [words(rng, n, 50) for n in (0, 1, 2, 300, 0, 5000, 7)] + ["", "x" * 300 + " y" * 3]
+    data, off = text_bytes(pa.array(texts))
+    word, tail, owner = mlm._hashed(data, off)
+    model, asked = small_model(), []
+    net = mlm.unflatten(model.flat)
+    ids = model.classes(word, tail)
+    wanted = np.concatenate([mlm.Pass(net, ids[owner == t], owner[owner == t], np.arange((owner == t).sum())).log_prob for t in np.unique(owner)]) + model.in_class(word, ids)
+    for name in ("classes", "in_class"):
+        plain = getattr(mlm.Model, name)
+        monkeypatch.setattr(mlm.Model, name, lambda self, x, y, plain=plain: asked.append(len(x)) or plain(self, x, y))
+    for block in (7, 1 << 15):
+        monkeypatch.setattr(mlm, "HASH_BYTES", block, raising=False)
+        each, got, of = mlm.net_log_probs(net, model, data, off)
+        assert (got == word).all() and (of == owner).all() and np.abs(each - wanted).max() < 1e-5
+    assert asked == [len(set(" ".join(texts).split()))] * 4
+
+
+def test_training_on_a_long_text_sees_its_batches_whole():
+    """A text of several batches: each batch's gradients are those of its places among all words."""
+    rng = np.random.default_rng(2)
+    ids, owner = rng.integers(0, mlm.VOCAB, 3 * mlm.BATCH), np.repeat([0, 1, 2], [5, 3 * mlm.BATCH - 10, 5])
+    flat, seen = small_model().flat, np.full(sum(mlm._SIZES), 1e-4)
+    trainer, at = mlm.Trainer(flat, seen), np.arange(1, 3 * mlm.BATCH, 2)
+    trainer.feed(ids, owner, at)
+    net, sums = mlm.unflatten(flat.copy()), mlm.unflatten(seen.copy())
+    for k in range(0, len(at), mlm.BATCH):
+        for name, (rows, g) in mlm.Pass(net, ids, owner, at[k : k + mlm.BATCH]).gradients().items():
+            full = np.zeros_like(net[name])
+            full[slice(None) if rows is None else rows] = g
+            sums[name] += full * full
+            net[name] -= mlm.RATE * full / np.sqrt(sums[name])
+    assert all(np.abs(trainer.net[k] - net[k]).max() < 1e-9 for k in net)
+
+
 @pytest.mark.parametrize("chunk", [1 << 22, 700])
 def test_scores_match_brute_force(spark, monkeypatch, chunk):
     """Pseudo-likelihoods and importance weights by loops over single words."""
