@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgraph.functions.similarity import LEAST_COMMON, adjacency, degrees
 from simgraph.operators.cliques import per_group
 from simgraph.operators.components import components
+from simgraph.operators.mincut import densest
 from simgraph.operators.reduce import densest_by_peeling, k_core
 from simgraph.runtime import cut, prepare
 
-#: Edges of a component of the reduced core that a task of the exact densest subgraph takes at most.
-LOCAL_EDGES = 2_000_000
+#: Edges of a component of the reduced core that a task of the exact densest subgraph takes at most: some 130 bytes each.
+LOCAL_EDGES = 6_000_000
 
 
 def false_twins(edges: DataFrame) -> DataFrame:
@@ -26,91 +27,21 @@ def false_twins(edges: DataFrame) -> DataFrame:
     return adj.groupBy(F.array_join("nbrs", ",").alias("nbrs")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-class _Flow:
-    """Maximum flow by level graphs, for cuts on a reduced core."""
-
-    def __init__(self, n: int):
-        self.to: list[int] = []
-        self.cap: list[int] = []
-        self.of: list[list[int]] = [[] for _ in range(n)]
-
-    def link(self, a: int, b: int, there: int, back: int = 0) -> None:
-        for x, y, c in ((a, b, there), (b, a, back)):
-            self.of[x].append(len(self.to))
-            self.to.append(y)
-            self.cap.append(c)
-
-    def reached(self, s: int) -> list[int]:
-        level = [-1] * len(self.of)
-        level[s] = 0
-        todo = deque([s])
-        while todo:
-            x = todo.popleft()
-            for e in self.of[x]:
-                if self.cap[e] > 0 and level[self.to[e]] < 0:
-                    level[self.to[e]] = level[x] + 1
-                    todo.append(self.to[e])
-        return level
-
-    def run(self, s: int, t: int) -> list[int]:
-        """Saturate, and return the levels of what the source still reaches."""
-        while (level := self.reached(s))[t] >= 0:
-            nxt = [0] * len(self.of)
-            while True:
-                path, x = [], s
-                while x != t:
-                    while nxt[x] < len(self.of[x]):
-                        e = self.of[x][nxt[x]]
-                        if self.cap[e] > 0 and level[self.to[e]] == level[x] + 1:
-                            break
-                        nxt[x] += 1
-                    else:
-                        if not path:
-                            break
-                        nxt[self.to[path[-1] ^ 1]] += 1
-                        x = self.to[path.pop() ^ 1]
-                        continue
-                    path.append(e)
-                    x = self.to[e]
-                if x != t:
-                    break
-                push = min(self.cap[e] for e in path)
-                for e in path:
-                    self.cap[e] -= push
-                    self.cap[e ^ 1] += push
-        return level
-
-
-def _denser(pairs: list[tuple[int, int]], floor: Fraction) -> tuple[Fraction, list[int]] | None:
-    """(edges per vertex, members) of a densest subgraph of the pairs; None if none is above ``floor`` and all vertices aren't.
-
-    Minimum cuts lift the density until no cut does.
-    """
-    ids = sorted({x for p in pairs for x in p})
-    place = {v: i for i, v in enumerate(ids)}
-    found = (Fraction(len(pairs), len(ids)), ids)
-    best = max(found[0], floor)
-    if found[0] < floor:
-        found = None
-    degree = [0] * len(ids)
-    for a, b in pairs:
-        degree[place[a]] += 1
-        degree[place[b]] += 1
-    while True:
-        n, num, den = len(ids), best.numerator, best.denominator
-        flow = _Flow(n + 2)
-        for a, b in pairs:
-            flow.link(place[a], place[b], den, den)
-        for i in range(n):
-            flow.link(n, i, degree[i] * den)
-            flow.link(i, n + 1, 2 * num)
-        level = flow.run(n, n + 1)
-        side = {ids[i] for i in range(n) if level[i] >= 0}
-        inside = sum(a in side and b in side for a, b in pairs)
-        if not side or Fraction(inside, len(side)) <= best:
-            return found
-        best = Fraction(inside, len(side))
-        found = (best, sorted(side))
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(u, v) of each run of rows (root, u, v) with one root, as arrays."""
+    key, held = None, []
+    for batch in batches:
+        root, u, v = (c.to_numpy() for c in batch.columns)
+        turns = [0, *(np.flatnonzero(root[1:] != root[:-1]) + 1).tolist(), len(root)]
+        for first, end in zip(turns, turns[1:], strict=False):
+            if end > first:
+                if held and root[first] != key:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                key = root[first]
+                held.append((u[first:end].copy(), v[first:end].copy()))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
@@ -118,11 +49,11 @@ def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
 
     Spark finds a dense subgraph by peeling; the answer lies in the core of at
     least its density, in one connected component of it. Each component is a
-    group of its own, whose minimum cuts begin at that density, so the graph may
-    be of any size; a component of more than LOCAL_EDGES edges is refused.
+    group of its own, whose minimum cuts begin at that density and work on arrays;
+    a component of more than LOCAL_EDGES edges is refused.
     """
     low, _ = densest_by_peeling(edges)
-    core = k_core(edges, max(1, int(np.ceil(low)))).where("u < v")
+    core = k_core(edges, max(1, int(np.ceil(low))), 2 * LOCAL_EDGES).where("u < v")  # tasks take off the last rounds' vertices
     if core.isEmpty():
         return Fraction(0), []
     roots = components(core.select(F.col("v").alias("a"), F.col("u").alias("b")))
@@ -131,12 +62,15 @@ def densest_exact(edges: DataFrame) -> tuple[Fraction, list[int]]:
         raise ValueError("a component of the core is too large for an exact cut; use densest_by_peeling")
     floor = Fraction(low * (1 - 1e-9))  # a little below what peeling found, which a float rounds
 
-    def find(root: int, u: list[int], v: list[int]) -> Iterator[tuple]:
-        if (found := _denser(list(zip(u, v, strict=True)), floor)) is not None:
-            density, members = found
-            yield int(density * len(members)), len(members), ",".join(map(str, members))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for u, v in _ends(batches):
+            if (found := densest(u, v, floor)) is not None:
+                density, members = found
+                out = [[int(density * len(members))], [len(members)], [",".join(map(str, members.tolist()))]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["edges", "n", "members"])
 
-    found = per_group(rows, find, "edges long, n long, members string")
+    dealt = rows.repartition(F.xxhash64("root")).sortWithinPartitions("root")
+    found = dealt.mapInArrow(find, "edges long, n long, members string")
     best = found.orderBy(F.desc(F.col("edges") / F.col("n")), F.split("members", ",")[0].cast("long")).first()
     return Fraction(best.edges, best.n), [int(x) for x in best.members.split(",")]
 

@@ -2,13 +2,15 @@
 
 import os
 import random
+from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from simgraph import catalog
 from simgraph.functions.similarity import both_ways, generalized_edges, pair_similarity, adjacency, similar_pairs
-from simgraph.operators import cliques, extras, index, reduce, vertex
+from simgraph.operators import cliques, extras, index, mincut, reduce, vertex
 from simgraph.operators.search import largest_clique, maximal_cliques
 from simgraph.plans import maximum
 from simgraph.sources import graph
@@ -153,6 +155,36 @@ def test_densest_goes_by_component(spark, monkeypatch):
         extras.densest_exact(frame(spark, five))
 
 
+def test_core_may_end_before_its_last_rounds(spark):
+    """A path of 60 on a clique loses two ends a round; with enough rows allowed the core comes with what such rounds would take."""
+    six = list(combinations(range(6), 2))
+    edges = frame(spark, six + [(a, a + 1) for a in range(5, 65)])
+    early = rows(reduce.k_core(edges, 2, 1000))
+    assert rows(frame(spark, six)) < early < rows(edges)
+    density, members = extras.densest_exact(edges)
+    assert density == Fraction(15, 6) and members == list(range(6))
+
+
+def test_densest_takes_one_large_component(spark, monkeypatch):
+    """A component of some 2,500 edges, cut on arrays in a task; in graphs small enough the members are those of brute force."""
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(800), 2))) for _ in range(2500)})
+    density, members = extras.densest_exact(frame(spark, pairs))
+    inside = sum(a in set(members) and b in set(members) for a, b in pairs)
+    assert density == Fraction(inside, len(members)) and density >= Fraction(len(pairs), 800)
+    for steps in (0, 3, 200):
+        monkeypatch.setattr(mincut, "STEPS", steps)
+        found = mincut.densest(*map(np.array, zip(*pairs, strict=True)), Fraction(0))
+        assert (found[0], found[1].tolist()) == (density, members)
+        for _ in range(10):
+            small = [p for p in combinations(range(8), 2) if rng.random() < 0.5] or [(0, 1)]
+            sets = [set(s) for k in range(2, 9) for s in combinations(range(8), k)]
+            best = max((Fraction(sum(a in s and b in s for a, b in small), len(s)), len(s), sorted(s)) for s in sets)
+            found = mincut.densest(*map(np.array, zip(*small, strict=True)), Fraction(0))
+            assert (found[0], found[1].tolist()) == (best[0], best[2])
+            assert mincut.densest(*map(np.array, zip(*small, strict=True)), best[0] + Fraction(1, 1000)) is None
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_k_plex_sees_the_surroundings_of_its_starts(spark, monkeypatch, k):
     """As greedy starts on the whole graph, without a limit on its edges."""
