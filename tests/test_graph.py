@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simgraph import catalog
 from simgraph.functions.similarity import both_ways, generalized_edges, pair_similarity, adjacency, similar_pairs
@@ -263,6 +264,17 @@ def test_degree_ratio_rows_come_in_runs(spark, monkeypatch, name):
     assert sum(a[1] != b[1] for a, b in zip(got, got[1:], strict=False)) < len(got) / 3
 
 
+@pytest.mark.parametrize("name", ["degree_ratio_candidates", "degree_ratio_partners"])
+def test_degree_ratio_rows_are_made_by_all_cores(spark, monkeypatch, name):
+    """Blocks are few bytes, yet their rows aren't made in the few tasks that such bytes would get."""
+    ring = frame(spark, [(2 * c, 2 * ((c + k) % 200) + 1) for c in range(200) for k in range(3)])
+    monkeypatch.setattr(catalog, "_sc", lambda spark, sf_dir: ring)
+    monkeypatch.setattr(catalog, "_BLOCK", 2)
+    monkeypatch.setattr(catalog, "_CHUNK", 8)
+    made = catalog.QUERIES[name](spark, "").groupBy(F.spark_partition_id().alias("p")).count()
+    assert made.count() > 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_later_blocks_do_not_span_links_of_earlier_ones(spark):
     assert rows(catalog.QUERIES["index_is_disjoint"](spark, SF)) == {(0,)}
