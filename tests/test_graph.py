@@ -275,6 +275,17 @@ def test_degree_ratio_rows_are_made_by_all_cores(spark, monkeypatch, name):
     assert made.count() > 2 * spark.sparkContext.defaultParallelism
 
 
+def test_degree_ratio_parts_leave_no_partner_out(spark, monkeypatch):
+    """Chunks of 8 partners in parts of 3 make all rows, each once."""
+    ring = frame(spark, [(2 * c, 2 * ((c + k) % 50) + 1) for c in range(50) for k in range(3)])
+    monkeypatch.setattr(catalog, "_sc", lambda spark, sf_dir: ring)
+    monkeypatch.setattr(catalog, "_CHUNK", 8)
+    monkeypatch.setattr(catalog, "_PART", 3)
+    made = catalog.QUERIES["degree_ratio_partners"](spark, "")
+    want = {(u, v) for u in range(0, 100, 20) for v in range(100) if u < v or u > v and v % 20}
+    assert rows(made) == want and made.count() == len(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_later_blocks_do_not_span_links_of_earlier_ones(spark):
     assert rows(catalog.QUERIES["index_is_disjoint"](spark, SF)) == {(0,)}
